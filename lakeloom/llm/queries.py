@@ -6,19 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import hit_summary
+from .mixing import mix
+from .parity_join import jaccard_components
 from .quality import quality_verdicts
 from .sharding import shard_rows
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hit_summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "n_tokens", "topic", F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), "kept")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shard_rows(sized).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_sharding)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op6_mixing, op8_sharding, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
