@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import hit_summary
 from .mixing import mix
+from .neural_lm import language_scores
 from .parity_join import jaccard_components
 from .quality import quality_verdicts
 from .sharding import shard_rows
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "topic", F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -36,5 +46,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op6_mixing, op8_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op6_mixing, op7_lm_scoring, op8_sharding, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
