@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import hit_summary
+from .licenses import scan_licenses
+from .main_text import extract_main_text
 from .mixing import mix
 from .neural_lm import language_scores
 from .parity_join import jaccard_components
 from .quality import quality_verdicts
 from .sharding import shard_rows
 from .toxicity import toxicity
+from .warc import archive_round_trip
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", "n_tokens", "topic", F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), "kept")
@@ -42,9 +53,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(sized).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op6_mixing, op7_lm_scoring, op8_sharding, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_license_scan,
+        op6_mixing, op7_lm_scoring, op8_sharding, op9_warc, op10_jaccard_join,
+    )
+}
 ORACLES: dict[str, str] = {}
