@@ -2,7 +2,7 @@
 
 A text is the set of its hashed n-grams (3 to 5 characters). A bounded sample of labelled training rows gives
 each bucket's log-count ratio r between the classes; logistic regression is then fitted on indicators times r,
-over the buckets of the largest support-weighted ratios. Scores are sigmoid(bias + sum of weights).
+over the buckets of the largest support-weighted ratios in favour of label 1. Scores are sigmoid(bias + sum of weights).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .textvec import byte_values, mix64, slices
 
 ORDERS = (3, 4, 5)
 BITS = 18
-FEATURES = 8192
+FEATURES = 4096
 #: At most so many labelled rows, those of the least hash of doc_id, are taken to fit.
 MAX_TRAIN_ROWS = 20_000
 STEPS = 150
@@ -75,7 +75,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([rows.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "features"])
 
 
-def fit_logistic(labels: np.ndarray, rows: list[np.ndarray], scale: np.ndarray, steps: int = STEPS, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_logistic(labels: np.ndarray, rows: list[np.ndarray], scale: np.ndarray, steps: int = STEPS, l2: float = 1e-2) -> tuple[np.ndarray, float]:
     """Weights (already times scale) and bias, by full-batch Adam."""
     size = np.array([len(r) for r in rows])
     index = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
@@ -106,9 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> t
     if not len(counts) or not 0 < totals[1] < totals[0]:
         return weights, float(np.log((totals[1] + 0.5) / (totals[0] - totals[1] + 0.5)))
     toxic, clean = counts.toxic.to_numpy() + 1.0, counts.clean.to_numpy() + 1.0
-    ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
+    ratio = np.log(toxic / (totals[1] + 2)) - np.log(clean / (totals[0] - totals[1] + 2))
     support = counts.toxic.to_numpy() + counts.clean.to_numpy()
-    worth = np.where(support >= 3, np.abs(ratio) * np.log1p(support), 0)
+    worth = np.where((support >= 3) & (ratio > 0), ratio * np.log1p(support), 0)
     best = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
     place = np.full(1 << BITS, -1, np.int32)
     place[counts.bucket.to_numpy()[best]] = np.arange(len(best))
