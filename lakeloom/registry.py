@@ -23,11 +23,18 @@ def query(sql: str | None = None):
     return put
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate <= TIMESTAMP '1998-09-02'")
+    items = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02'")
     exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     return items.groupBy("l_returnflag", "l_linestatus").agg(exact("l_quantity").alias("sum_qty"), exact("l_extendedprice").alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+from lakeloom.plans import data_queries, function_queries, scan_queries, stream_queries, table_queries  # noqa: E402, F401
