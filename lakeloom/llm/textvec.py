@@ -86,7 +86,7 @@ def runs_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     rolled = mix64(h, 1)
     for j in range(1, k):
         step = np.zeros(n, np.uint64)
-        step[: n - j] = h[j:]
+        step[: max(0, n - j)] = h[j:]
         rolled = mix64(rolled * np.uint64(0xD6E8FEB86659FD93) + step, 1)
     count = words.count
     full = np.maximum(count - k + 1, 0)
