@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,29 +22,22 @@ ROWS_PER_BLOCK = 2_000_000
 
 
 def draw_hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
-    """Number of good items among draws without replacement, by inversion outwards from the mode."""
+    """Number of good items among draws without replacement, by inversion.
+
+    Probabilities relative to the mode's follow from their ratios; beyond twelve standard deviations they vanish.
+    """
     low, high = max(0, draws - bad), min(good, draws)
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
     if low == high:
         return low
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    down = up = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    left = right = mode
-    u -= down
-    while u >= 0 and (left > low or right < high):
-        if right < high:
-            up *= (good - right) * (draws - right) / ((right + 1) * (bad - draws + right + 1))
-            right += 1
-            u -= up
-            if u < 0:
-                return right
-        if left > low:
-            down *= left * (bad - draws + left) / ((good - left + 1) * (draws - left + 1))
-            left -= 1
-            u -= down
-            if u < 0:
-                return left
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(draws * (good / total) * (bad / total) * (total - draws) / max(1, total - 1))
+    low, high = max(low, mode - int(12 * spread) - 30), min(high, mode + int(12 * spread) + 30)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((draws - k) / (bad - draws + k + 1))
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    mass = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + min(int(np.searchsorted(mass, u * mass[-1], side="right")), high - low)
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[int]]:
