@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, shared_dir, staged
+from .common import ROWS_PER_FILE, broadcast_within, shared_dir, staged
 
 BLOCK_LINES = 256
 MAX_BLOCKS = 500_000
@@ -96,9 +96,10 @@ class Archive:
 def responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload) with refers_to: null for responses."""
     sized = pages.withColumn("sha", F.sha1("payload"))
-    narrow = staged(sized.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha").distinct(), "warc-digests")
-    first = narrow.groupBy("sha").agg(F.max("page_id").alias("response"))
-    repeated = staged(narrow.join(first, "sha").where("page_id != response OR (page_id IS NULL AND response IS NOT NULL)"), "warc-repeated")
+    narrow = sized.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha")
+    first = narrow.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = narrow.join(first, "sha").where("page_id != response OR (page_id IS NULL AND response IS NOT NULL)").distinct()
+    repeated = staged(repeated, "warc-repeated", pages.count())
     same = sized["page_id"].eqNullSafe(repeated["page_id"]) & (sized["sha"] == repeated["sha"])
     return sized.join(broadcast_within(repeated, MAX_BROADCAST_ROWS), same, "left").select(sized["page_id"], "url", "payload", F.col("response").alias("refers_to"))
 
@@ -154,7 +155,7 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
         if out:
             out.close()
 
-    dealt = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = captures.repartitionByRange(max(1, -(-total // ROWS_PER_FILE)), "key", "page_id").sortWithinPartitions("key", "page_id")
     directory = staged(dealt.mapInArrow(index, "first string, file string, offset long, length long"), "warc-directory")
     return Archive(folder, directory, total)
 
