@@ -26,7 +26,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs whose key is in keys (one column, __row)."""
-    keys = staged(keys.distinct(), "kept-keys")
+    keys = staged(keys.distinct(), "kept-keys", docs.count())
     return _keyed(docs).join(broadcast_within(keys, MAX_BROADCAST_KEYS), "__row", "left_semi").select(*docs.columns)
 
 
@@ -38,10 +38,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group linked at Jaccard 0.8 over five-word shingles."""
-    found = staged(jaccard_components(docs, k=5, num=80, den=100), "near-duplicates")
+    rows = docs.count()
+    found = staged(jaccard_components(docs, k=5, num=80, den=100), "near-duplicates", rows)
     keep = found.where("component_id = doc_id")
     ids = keep.select("doc_id").distinct()
-    kept = docs.join(broadcast_within(staged(ids, "kept-ids"), MAX_BROADCAST_KEYS), "doc_id", "left_semi")
+    kept = docs.join(broadcast_within(staged(ids, "kept-ids", rows), MAX_BROADCAST_KEYS), "doc_id", "left_semi")
     if keep.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, broadcast_within, staged, words_of
+from .common import ROWS_PER_FILE, ascii_lower, broadcast_within, staged, words_of
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST_ROWS = 1_000_000
@@ -42,14 +42,15 @@ def hit_summary(docs: DataFrame, items: DataFrame, carry: list[str], window: int
     item_words = items.select("item_id", words_of(ascii_lower(F.col("text")), WORDS).alias("words")).where(F.size("words") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0))), lambda i: F.slice("words", i + 1, window))
     item_windows = item_words.select("item_id", F.explode(cut).alias("words")).distinct()
-    windows = staged(item_windows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "bench-windows")
-    holders = staged(item_windows.join(windows, "words").select("wid", "item_id"), "bench-items")
+    some = item_windows.count()
+    windows = staged(item_windows.select("words").distinct().coalesce(max(1, some // ROWS_PER_FILE)).withColumn("wid", F.monotonically_increasing_id()), "bench-windows")
+    holders = staged(item_windows.join(windows, "words").select("wid", "item_id"), "bench-items", some)
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(k))).distinct().collect())
     parts = None
     for size in sizes:
         own = windows.where(F.least(F.size("words"), F.lit(k)) == size).select("wid", F.size("words").alias("len"), F.inline(shingles(F.col("words"), [size])))
         parts = own if parts is None else parts.unionByName(own)
-    parts = staged(parts if parts is not None else windows.select("wid", F.lit(0).alias("len"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")), "bench-shingles")
+    parts = staged(parts if parts is not None else windows.select("wid", F.lit(0).alias("len"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")), "bench-shingles", some)
 
     wanted = broadcast_within(parts.select("h", F.lit(True).alias("found")).distinct(), MAX_BROADCAST_ROWS)
     named = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
@@ -70,7 +71,7 @@ def hit_summary(docs: DataFrame, items: DataFrame, carry: list[str], window: int
         F.min(F.struct("freq", "h", "pos")).alias("rarest"), F.count("*").alias("tokens"), F.count("freq").alias("present")
     )
     prefixes = ordered.where("tokens = present").select(F.col("rarest.h").alias("h"), F.col("rarest.pos").alias("offset"), "wid", "len", "tokens")
-    prefixes = staged(prefixes, "bench-prefixes")
+    prefixes = staged(prefixes, "bench-prefixes", some)
     candidates = (
         matches.join(broadcast_within(prefixes, MAX_BROADCAST_ROWS), "h")
         .where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("len") <= F.col("n")))
@@ -78,7 +79,7 @@ def hit_summary(docs: DataFrame, items: DataFrame, carry: list[str], window: int
     )
     places = candidates.join(broadcast_within(parts.select("wid", F.col("pos").alias("at"), "h"), MAX_BROADCAST_ROWS), "wid").withColumn("pos", F.col("start") + F.col("at"))
     proven = places.join(matches.select("key", "pos", "h"), ["key", "pos", "h"], "left_semi").groupBy("key", "start", "wid", "len", "tokens").count().where("count = tokens")
-    proven = staged(proven.select("key", "start", "wid", "len"), "bench-hits")
+    proven = staged(proven.select("key", "start", "wid", "len"), "bench-hits", kept.count())
 
     reached = F.max(F.col("start") + F.col("len")).over(Window.partitionBy("key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
     spans = proven.select("key", "start", "len").distinct().withColumn("fresh", F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0)))))

@@ -43,13 +43,13 @@ def raked(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, max_ra
         values = cells.groupBy(d).agg(F.first(f"{d}_t").alias("t"))
         scale = values.agg((F.sum("t") / F.sum(F.pow("t", F.lit(temper)))).alias("s")).first()["s"] or 1.0
         cells = cells.withColumn(f"{d}_t", F.pow(f"{d}_t", F.lit(temper)) * F.lit(float(scale)))
-    cells = cells.withColumn("w", F.col("tokens").cast("double"))
+    cells, rows = cells.withColumn("w", F.col("tokens").cast("double")), cells.count()
     for i in range(rounds):
         for d in DIMENSIONS:
             cells = cells.withColumn("w", F.col("w") * F.col(f"{d}_t") / F.sum("w").over(Window.partitionBy(d)))
         cells = cells.withColumn("w", F.greatest(F.col("tokens") / max_ratio, F.least(F.col("tokens") * max_ratio, F.col("w"))))
         if i % 2 == 1 or i == rounds - 1:
-            cells = staged(cells, "raking")
+            cells = staged(cells, "raking", rows)
     return cells.select(*DIMENSIONS, "tokens", "w")
 
 
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, topic: Column | None = None, key: str = "doc_id", seed:
     counted = counted.withColumn("topic", topic if topic is not None else form_topic(F.coalesce("text", F.lit("")), F.col("n_tokens")))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     counted = counted.withColumns({"__source": name("source"), "__lang": name("lang"), "__topic": name("topic")})
-    cells = staged(counted.groupBy(*DIMENSIONS).agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens")), "cells")
+    cells = staged(counted.groupBy(*DIMENSIONS).agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens")), "cells", counted.count())
     weights = raked(cells).withColumn("ratio", F.col("w") / F.col("tokens"))
     top = weights.agg(F.max("ratio")).first()[0] or 1.0
     total = weights.agg((F.sum("w") / F.sum("tokens")).alias("r")).first()["r"] or 1.0

@@ -192,13 +192,14 @@ def crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 def components(links: DataFrame) -> DataFrame:
     """links (x, y) -> (key, comp): the least key that each linked key reaches. Labels flow along links and jump."""
-    ways = staged(links.select("x", "y").union(links.select("y", "x")).distinct(), "ways")
-    labels = staged(ways.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("comp")).withColumnRenamed("x", "key"), "labels")
+    rows = 2 * links.count()
+    ways = staged(links.select("x", "y").union(links.select("y", "x")).distinct(), "ways", rows)
+    labels = staged(ways.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("comp")).withColumnRenamed("x", "key"), "labels", rows)
     while True:
         near = ways.join(labels, ways.y == labels.key).groupBy("x").agg(F.min("comp").alias("near"))
         moved = labels.join(near, labels.key == near.x).select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("via"))
         ahead = labels.select(F.col("key").alias("via"), F.col("comp").alias("ahead"))
-        moved = staged(moved.join(ahead, "via").select("key", "old", F.least("via", "ahead").alias("comp")), "labels")
+        moved = staged(moved.join(ahead, "via").select("key", "old", F.least("via", "ahead").alias("comp")), "labels", rows)
         labels = moved.select("key", "comp")
         if moved.where("comp != old").limit(1).count() == 0:
             return labels
@@ -215,12 +216,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     read = docs.select(F.col(key).cast("long").alias("key"), F.col("text"))
     table = staged(read.mapInArrow(lambda it: features(it, k, num, den), FEATURES), "parity-features")
     sets = table.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
-    sets = staged(sets, "parity-sets")
+    sets = staged(sets, "parity-sets", table.count())
     reps = table.where("n > 0").join(sets.select(F.col("rep").alias("key"), "hi", "lo", "n"), ["key", "hi", "lo", "n"], "left_semi")
     dealt = reps.select(F.explode("keys").alias("bucket"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
     met = staged(dealt.mapInArrow(meetings, "bucket long, key long, least long, place long"), "parity-meetings")
-    ids = staged(met.select("key").distinct(), "parity-ids")
-    sketches = staged(reps.select("key", "n", "sketch").join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi").dropDuplicates(["key"]), "parity-sketches")
+    rows = met.count()
+    ids = staged(met.select("key").distinct(), "parity-ids", rows)
+    sketches = staged(reps.select("key", "n", "sketch").join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi").dropDuplicates(["key"]), "parity-sketches", 4 * ids.count())
 
     pairs = met.where("key != least").select(F.col("least").alias("x"), F.col("key").alias("y")).distinct()
     end = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -228,11 +230,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     far = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     least = F.ceil(num * both / (num + den))
     likely = pairs.join(end("x"), "x").join(end("y"), "y").where((den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & (far <= both - 2 * least)).select("x", "y")
-    links = verified(staged(likely, "parity-candidates"), docs, key, k, num, den)
+    links = verified(staged(likely, "parity-candidates", rows), docs, key, k, num, den)
     comps = components(links)
 
     found = met.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    found = staged(found.select("bucket", "key", "place", "comp"), "parity-found")
+    found = staged(found.select("bucket", "key", "place", "comp"), "parity-found", rows)
     spread = found.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.max("place").alias("most")).where("a != z AND most >= 2")
     blocks = (F.col("most") / BLOCK_ROWS).cast("int")
     own = (F.col("place") / BLOCK_ROWS).cast("int").alias("block")
@@ -240,7 +242,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     words = [F.get("sketch", F.lit(w)).alias(f"s{w}") for w in range(SKETCH_WORDS)]
     dealt = dealt.join(sketches, "key").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "comp", "n", *words)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    across = staged(dealt.mapInArrow(lambda it: crossing(it, num, den), "x long, y long").distinct(), "parity-crossing")
+    across = staged(dealt.mapInArrow(lambda it: crossing(it, num, den), "x long, y long").distinct(), "parity-crossing", rows)
     more = verified(across, docs, key, k, num, den)
     if more.limit(1).count():
         comps = components(links.unionByName(more))
@@ -251,10 +253,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (x, y) whose sets have Jaccard similarity num/den or more."""
-    ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "parity-ids")
+    rows = pairs.count()
+    ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "parity-ids", 2 * rows)
     read = docs.select(F.col(key).cast("long").alias("key"), F.col("text")).join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi")
     sets = staged(read.mapInArrow(lambda it: token_sets(it, k), "key long, tokens array<long>"), "parity-tokens")
     end = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t{c}"))
     shared = F.size(F.array_intersect("tx", "ty"))
     close = den * shared >= num * (F.size("tx") + F.size("ty") - shared)
-    return staged(pairs.join(end("x"), "x").join(end("y"), "y").where(close).select("x", "y").distinct(), "parity-links")
+    return staged(pairs.join(end("x"), "x").join(end("y"), "y").where(close).select("x", "y").distinct(), "parity-links", 10 * rows)

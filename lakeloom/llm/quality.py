@@ -124,7 +124,8 @@ def quality_verdicts(docs: DataFrame, carry: list[str], min_group: int = MIN_GRO
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     own = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").alias("text"), key("lang").alias("__lang"), key("source").alias("__source"))
     counts = staged(text_counts(own), "quality-counts")
-    fences = staged(thresholds(staged(sketches(counts), "quality-sketches"), min_group), "quality-fences")
+    sketch = staged(sketches(counts), "quality-sketches", len(METRICS) * counts.count())
+    fences = staged(thresholds(sketch, min_group), "quality-fences", sketch.count())
     joined = counts.join(broadcast_within(fences, MAX_BROADCAST_GROUPS), ["__lang", "__source"], "left")
     inside = F.lit(True)
     for m, v in metric_values().items():
