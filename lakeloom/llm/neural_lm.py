@@ -67,14 +67,29 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(*merged())
 
 
+def least_count(words: DataFrame, most: int = TOP_WORDS) -> int:
+    """The least count such that no more than `most` words have it or more."""
+    sizes = words.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(most).collect()
+    total, least = 0, 1 + (sizes[0]["c"] if sizes else 0)
+    for row in sizes:
+        total += row["n"]
+        if total > most:
+            break
+        least = row["c"]
+    return least
+
+
 def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The bounded part that tasks hold, and the table (word, c) of all words."""
     words = staged(train.select("text").mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(TOP_WORDS).toPandas()
-    hashes, counts = top.word.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
-    ids = np.full(len(top), OTHER)
+    least = least_count(words)
+    top = words.where(F.col("c") >= least).toArrow()  # at most TOP_WORDS rows
+    hashes, counts = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order], counts[order]
+    ids = np.full(len(hashes), OTHER)
     ids[: OUTPUTS - 2] = np.arange(2, 2 + len(ids[: OUTPUTS - 2]))
     listed = counts[: OUTPUTS - 2]
     mass = np.concatenate(([ends], [n - listed.sum()], listed)) + 0.5
@@ -184,9 +199,9 @@ def fit(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Parameters
     for r in range(rounds):
         part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(rounds)) == r).select("text")
         means = part.mapInArrow(lambda it, flat=flat: descend(it, vocab, flat), "place long, value double, weight double")
-        found = means.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
+        found = means.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         flat = flat.copy()
-        flat[found.place.to_numpy()] = found.value.to_numpy()
+        flat[found.column("place").to_numpy()] = found.column("value").to_numpy()
     return Parameters.of(flat, len(vocab.unigram))
 
 
