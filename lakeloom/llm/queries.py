@@ -11,6 +11,7 @@ from .licenses import scan_licenses
 from .main_text import extract_main_text
 from .mixing import mix
 from .neural_lm import language_scores
+from .oracles import ORACLES  # noqa: F401
 from .parity_join import jaccard_components
 from .quality import quality_verdicts
 from .sharding import shard_rows
@@ -68,4 +69,3 @@ QUERIES = {
         op6_mixing, op7_lm_scoring, op8_sharding, op9_warc, op10_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {}
