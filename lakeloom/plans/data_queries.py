@@ -282,7 +282,7 @@ def slot_assignment(spark, sf):
     return matching.assign_slots(participants, members, "c_custkey", "member", "e1")
 
 
-@query("""SELECT s_suppkey FROM (SELECT s_suppkey, xor(('0x' || substr(md5('s' || s_suppkey), 1, 8))::BIGINT, ('0x' || substr(md5('target'), 1, 8))::BIGINT) AS d FROM supplier) ORDER BY d, s_suppkey LIMIT 8""")
+@query("""SELECT s_suppkey FROM (SELECT s_suppkey, xor(('0x' || substr(md5('s' || s_suppkey), 1, 8))::BIGINT, ('0x' || substr(md5('target'), 1, 8))::BIGINT) AS d FROM supplier) ORDER BY d, s_suppkey LIMIT (SELECT least(8, CAST(greatest(1, count(*) // 2) AS BIGINT)) FROM supplier)""")
 def nearest_by_xor(spark, sf):
     import hashlib
 
