@@ -110,3 +110,36 @@ def replayed(operations: DataFrame, key: list[str], order: str, kind: str, value
     """State of each entity after its insert, update and delete operations in order; a deletion clears it."""
     last = operations.groupBy(*key).agg(F.max_by(F.struct(F.col(kind).alias("k"), F.col(value).alias("v")), F.col(order)).alias("last"))
     return last.where("last.k != 'delete'").select(*key, F.col("last.v").alias(value))
+
+
+def rotations(log: DataFrame, by: list[str], revision: str, tail: str) -> DataFrame:
+    """Entries at which the tail differs from that of the entry before: the new tail becomes effective there."""
+    prior = F.lag(tail).over(Window.partitionBy(*by).orderBy(revision))
+    return log.withColumn("prior_tail", prior).where(F.col("prior_tail").isNotNull() & (F.col("prior_tail") != F.col(tail)))
+
+
+def registration_plan(subscribers: DataFrame, ident: str, at: Column, jitter_ms: int = 30_000) -> DataFrame:
+    """When each subscriber registers again after a rotation: at, plus a jitter that its identifier fixes."""
+    jitter = F.conv(F.substring(F.sha2(F.col(ident).cast("string"), 256), 1, 8), 16, 10).cast("long") % jitter_ms
+    return subscribers.withColumn("register_at", at + jitter)
+
+
+def backfill(log: DataFrame, requests: DataFrame, by: list[str], revision: str, low: str = "from_rev", high: str = "to_rev") -> DataFrame:
+    """Log entries of each requested range, with underflow where the log begins after the range's start."""
+    first = log.groupBy(*by).agg(F.min(revision).alias("ring_low"))
+    asked = requests.join(first, by, "left").withColumn("underflow", F.coalesce(F.col(low) < F.col("ring_low"), F.lit(True)))
+    entries = asked.select(*by, low, high, "underflow").join(log, by, "left")
+    return entries.where(F.col(revision).isNull() | F.col(revision).between(F.col(low), F.col(high)))
+
+
+def chain_push(chain: DataFrame, entries: DataFrame, order: str) -> DataFrame:
+    """Entries at the tail, numbered on from the last place."""
+    last = chain.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("__last"))
+    new = entries.withColumn("__n", F.row_number().over(Window.orderBy(order)))  # one batch of entries
+    return chain.unionByName(new.join(F.broadcast(last), F.lit(True)).withColumn("place", F.col("__last") + F.col("__n")).select(*chain.columns))
+
+
+def chain_take(chain: DataFrame, n: int, head: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(taken, left): pop n from the tail, or dequeue n from the head."""
+    taken = chain.orderBy("place" if head else F.desc("place")).limit(n)
+    return taken, chain.join(taken.select("place"), "place", "left_anti")

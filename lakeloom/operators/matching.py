@@ -128,3 +128,10 @@ def backoff_ms(attempt: Column, base: float = 100.0, factor: float = 2.0, cap: f
     """min(base * factor^attempt, cap), less up to a half of it at random where a seed is given."""
     full = F.least(F.lit(base) * F.pow(F.lit(factor), attempt), F.lit(cap))
     return full if seed is None else full * (1 - 0.5 * F.rand(seed))
+
+
+def fan_out(selected: DataFrame, providers: DataFrame, slot: str, key: str, attached: str, matches: Column, want: int) -> DataFrame:
+    """Providers of the selected shards, once each, those that match, the first `want` by attachment."""
+    found = providers.join(F.broadcast(selected.select(slot)), slot, "left_semi").where(matches)  # shards: a few by construction
+    once = found.groupBy(key).agg(F.min(attached).alias(attached))
+    return once.orderBy(attached, key).limit(want)

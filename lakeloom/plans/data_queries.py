@@ -358,3 +358,57 @@ def live_registrations(spark, sf):
 def ranking_windows(spark, sf):
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))
     return table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.dense_rank().over(w).cast("long").alias("r"), F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("before"))
+
+
+@query(f"""WITH sh AS (SELECT slot FROM (SELECT *, row_number() OVER (ORDER BY bucket DESC, slot) AS k FROM ({SLOTS}) WHERE bucket > 0) WHERE k <= 3)
+SELECT event_id, ts FROM events WHERE user_id % 29 IN (SELECT slot FROM sh) AND event_type <> 'error' AND (user_id % 3 = 0 OR user_id < 90) ORDER BY ts, event_id LIMIT 15""")
+def shard_fan_out(spark, sf):
+    """The most populated shards, their providers once each, filtered again."""
+    top = matching.select_shards(slots(spark, sf), 10**6, 1.0, 3)
+    providers = table(spark, sf, "events").where("user_id % 3 = 0 OR user_id < 90").withColumn("slot", (F.col("user_id") % 29).cast("int"))
+    return matching.fan_out(top, providers, "slot", "event_id", "ts", F.col("event_type") != "error", 15)
+
+
+@query("SELECT CAST(user_id % 16 AS BIGINT) AS peer, count(*) AS blocks, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS payload FROM events GROUP BY ALL")
+def peer_batches(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy((F.col("user_id") % 16).alias("peer")).agg(F.count("*").alias("blocks"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("payload"))
+
+
+@query("SELECT event_type, quantile_disc(user_id % 8, 0.5) AS p50, quantile_disc(user_id % 8, 0.99) AS p99, count(DISTINCT user_id) AS starts, count(*) FILTER (user_id % 8 <= 4) AS at_tier FROM events GROUP BY event_type")
+def hop_metrics(spark, sf):
+    e = table(spark, sf, "events").withColumn("hops", F.col("user_id") % 8)
+    rank = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY hops)").cast("long").alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"))]
+    return e.groupBy("event_type").agg(*rank, F.countDistinct("user_id").alias("starts"), F.count_if(F.col("hops") <= 4).alias("at_tier"))
+
+
+@query("SELECT c_nationkey, string_agg(substr(md5(c_name), 1, 6), ',' ORDER BY substr(md5(c_name), 1, 6)) AS sorted FROM customer GROUP BY c_nationkey")
+def byte_order(spark, sf):
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.unhex(F.substring(F.md5("c_name"), 1, 6)))).alias("b"))
+    return c.select("c_nationkey", F.array_join(F.transform("b", lambda x: F.lower(F.hex(x))), ",").alias("sorted"))
+
+
+@query(f"""WITH l AS (SELECT user_id, rev, event_id FROM ({REVS}) WHERE rev > 10), q AS (SELECT user_id, CAST(8 + user_id % 6 AS BIGINT) AS from_rev, CAST(14 AS BIGINT) AS to_rev FROM (SELECT DISTINCT user_id FROM events))
+SELECT user_id, from_rev, to_rev, from_rev < 11 AS underflow, rev, event_id FROM q JOIN l USING (user_id) WHERE rev BETWEEN from_rev AND to_rev""")
+def backfill_serving(spark, sf):
+    log = revisions(spark, sf).where("rev > 10").select("user_id", "rev", "event_id")
+    asked = table(spark, sf, "events").select("user_id").distinct().withColumn("from_rev", 8 + F.col("user_id") % 6).withColumn("to_rev", F.lit(14).cast("long"))
+    return changes.backfill(log, asked, ["user_id"], "rev")
+
+
+@query(f"""WITH l AS (SELECT user_id, rev, event_type AS tail, lag(event_type) OVER (PARTITION BY user_id ORDER BY rev) AS prior_tail, {MS} AS ms FROM ({REVS}))
+SELECT user_id, rev, tail, prior_tail, ms + ('0x' || substr(sha256(user_id::VARCHAR), 1, 8))::BIGINT % 30000 AS register_at FROM l WHERE prior_tail <> tail""")
+def tail_rotation(spark, sf):
+    log = revisions(spark, sf).select("user_id", "rev", F.col("event_type").alias("tail"), millis().alias("ms"))
+    return changes.registration_plan(changes.rotations(log, ["user_id"], "rev", "tail"), "user_id", F.col("ms")).drop("ms")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS place, n_name AS entry FROM nation WHERE n_nationkey BETWEEN 3 AND 20")
+def chain_operations(spark, sf):
+    """Add 25 entries, dequeue three from the head, pop four from the tail; places stay as they were."""
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("entry"))
+    chain = spark.createDataFrame([], "place long, entry string")
+    chain = changes.chain_push(chain, n.withColumn("place", F.lit(0).cast("long")), "n_nationkey")
+    _, chain = changes.chain_take(chain, 3, head=True)
+    _, chain = changes.chain_take(chain, 4)
+    return chain.withColumn("place", F.col("place") - 3)

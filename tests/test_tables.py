@@ -171,3 +171,13 @@ def test_formats(spark, tmp_path):
     formats.export_metrics(m, str(tmp_path / "csv"), "csv")
     formats.export_metrics(m, str(tmp_path / "json"), "json")
     assert '"a""b,c",1.0' in "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
+
+
+def test_validation(spark, store):
+    rows = frame(spark, [(1, "x", 1), (2, None, 2)])
+    t = put(spark, store, [(1, "x", 1)])
+    claim = {"stamp": t.stamp, "at_ms": 1000, "schema_hash": store.schema_hash(), "reads": {}, "operations_hash": txn.operations_hash(rows)}
+    assert txn.validate(store, claim, lambda: rows.orderBy("id"), 2000) == []
+    t.commit()
+    bad = claim | {"stamp": "x", "schema_hash": "", "reads": {"t": "old"}}
+    assert txn.validate(store, bad, lambda: rows.limit(1), 99_000) == ["stamp", "expired", "schema", "stale read", "operations"]
