@@ -8,7 +8,9 @@ differ in tokens. Each set announces its first t + 1 such segments (t: its large
 their tokens; sets that meet are compared by size, by a 1024-bit parity sketch and then exactly.
 
 Sets that meet are first compared with the least of them alone (a star, not all pairs). Only where a meeting
-then still spans several components are further pairs tried, in blocks, and only across components.
+then still spans several components are further pairs tried, in blocks, and only across components. A bucket
+that many sets share is found by counting in a part of them, and dealt over several tasks: each has a star of
+its own, and the stars' centres are compared with the least of them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ SKETCH_WORDS = 16
 BAND = 1.6
 BLOCK_ROWS = 512
 MAX_BROADCAST_IDS = 500_000
+#: A bucket with HOT_COUNT rows or more in one of HOT_SAMPLE parts of the sets is dealt over SALTS tasks.
+HOT_SAMPLE, HOT_COUNT, SALTS = 64, 500, 64
+MAX_BROADCAST_HOT = 100_000
 FEATURES = "key long, n long, hi long, lo long, sketch array<long>, keys array<long>"
 
 
@@ -126,32 +131,35 @@ def token_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (bucket, key): those of buckets with several keys, with the least key and their place."""
-    last = None  # bucket, key, least key of the bucket, place
+    """Of rows sorted by (bucket, salt, key): those of runs with several keys, with the least key and their place.
+
+    A run is a bucket, or a salted part of one; rows of salted parts (salt > 0) are all given.
+    """
+    last = None  # bucket, salt, key, least key of the run, place
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        bucket, salt, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
         if last:
-            bucket, key = np.concatenate(([last[0]], bucket)), np.concatenate(([last[1]], key))
+            bucket, salt, key = (np.concatenate(([a], b)) for a, b in zip(last, (bucket, salt, key)))
         new = np.ones(len(bucket), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
-        bucket, key = bucket[new], key[new]
+        new[1:] = (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]) | (key[1:] != key[:-1])
+        bucket, salt, key = bucket[new], salt[new], key[new]
         head = np.ones(len(bucket), bool)
-        head[1:] = bucket[1:] != bucket[:-1]
+        head[1:] = (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])
         run = np.cumsum(head) - 1
         first = np.flatnonzero(head)
         least, place = key[first][run], np.arange(len(bucket)) - first[run]
         size = np.bincount(run)
-        several = size[run] > 1
+        several = (size[run] > 1) | (salt > 0)
         if last:
             mine = run == 0
-            least[mine], place[mine] = last[2], place[mine] + last[3]
-            if last[3] > 0:
+            least[mine], place[mine] = last[3], place[mine] + last[4]
+            if last[4] > 0 or last[1] > 0:
                 several[mine] = True
                 several[0] = False  # told before
-        last = (bucket[-1], key[-1], least[-1], place[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[several]), pa.array(key[several]), pa.array(least[several]), pa.array(place[several].astype(np.int64))], names=["bucket", "key", "least", "place"])
+        last = (bucket[-1], salt[-1], key[-1], least[-1], place[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (bucket, salt, key, least, place.astype(np.int64))], names=["bucket", "salt", "key", "least", "place"])
 
 
 def crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -218,13 +226,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     sets = table.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
     sets = staged(sets, "parity-sets", table.count())
     reps = table.where("n > 0").join(sets.select(F.col("rep").alias("key"), "hi", "lo", "n"), ["key", "hi", "lo", "n"], "left_semi")
-    dealt = reps.select(F.explode("keys").alias("bucket"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
-    met = staged(dealt.mapInArrow(meetings, "bucket long, key long, least long, place long"), "parity-meetings")
+    some = reps.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("bucket"))
+    hot = staged(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT), "parity-hot")
+    salt = F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("key", F.lit(4)), F.lit(SALTS))).cast("int")
+    dealt = reps.select(F.explode("keys").alias("bucket"), "key").join(broadcast_within(hot, MAX_BROADCAST_HOT), "bucket", "left").select("bucket", salt.alias("salt"), "key")
+    dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
+    met = staged(dealt.mapInArrow(meetings, "bucket long, salt int, key long, least long, place long"), "parity-meetings")
     rows = met.count()
+    centres = met.where("salt > 0 AND place = 0").select("bucket", F.col("key").alias("y"))
+    centres = centres.join(centres.groupBy("bucket").agg(F.min("y").alias("x")), "bucket").where("x != y").select("x", "y")
     ids = staged(met.select("key").distinct(), "parity-ids", rows)
     sketches = staged(reps.select("key", "n", "sketch").join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi").dropDuplicates(["key"]), "parity-sketches", 4 * ids.count())
 
-    pairs = met.where("key != least").select(F.col("least").alias("x"), F.col("key").alias("y")).distinct()
+    pairs = met.where("key != least").select(F.col("least").alias("x"), F.col("key").alias("y")).unionByName(centres).distinct()
     end = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = F.col("nx") + F.col("ny")
     far = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
@@ -234,11 +248,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     comps = components(links)
 
     found = met.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    found = staged(found.select("bucket", "key", "place", "comp"), "parity-found", rows)
-    spread = found.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.max("place").alias("most")).where("a != z AND most >= 2")
-    blocks = (F.col("most") / BLOCK_ROWS).cast("int")
-    own = (F.col("place") / BLOCK_ROWS).cast("int").alias("block")
-    dealt = found.join(spread, "bucket").select("bucket", "key", "comp", own, F.explode(F.sequence(F.lit(0), blocks)).alias("other"))
+    block = F.col("salt").cast("long") * (1 << 32) + (F.col("place") / BLOCK_ROWS).cast("long")
+    found = staged(found.select("bucket", "key", "comp", block.alias("block")), "parity-found", rows)
+    spread = found.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("members"), F.collect_set("block").alias("blocks")).where("a != z AND members > 2")
+    dealt = found.join(spread, "bucket").select("bucket", "key", "comp", "block", F.explode("blocks").alias("other"))
     words = [F.get("sketch", F.lit(w)).alias(f"s{w}") for w in range(SKETCH_WORDS)]
     dealt = dealt.join(sketches, "key").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "comp", "n", *words)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -260,4 +273,4 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, k: int, num: int, den:
     end = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t{c}"))
     shared = F.size(F.array_intersect("tx", "ty"))
     close = den * shared >= num * (F.size("tx") + F.size("ty") - shared)
-    return staged(pairs.join(end("x"), "x").join(end("y"), "y").where(close).select("x", "y").distinct(), "parity-links", 10 * rows)
+    return staged(pairs.join(end("x"), "x").join(end("y"), "y").where(close).select("x", "y").distinct(), "parity-links")

@@ -98,6 +98,12 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     test_join_of_dense_groups(spark)
 
 
+def test_salted_buckets_lose_nothing(spark, monkeypatch):
+    for name, value in (("HOT_SAMPLE", 1), ("HOT_COUNT", 3), ("SALTS", 3), ("BLOCK_ROWS", 8)):
+        monkeypatch.setattr(parity_join, name, value)
+    test_join_of_dense_groups(spark)
+
+
 def test_join_on_awkward_rows(spark):
     rows = parity_join.jaccard_components(awkward(spark)).collect()
     assert len(rows) == 15
