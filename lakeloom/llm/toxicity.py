@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .textvec import byte_values, mix64, slices
 
 ORDERS = (3, 4, 5)
 BITS = 18
 FEATURES = 4096
-#: At most so many labelled rows, those of the least hash of doc_id, are taken to fit.
+#: At most so many labelled rows, those of a small hash of doc_id, are taken to fit.
 MAX_TRAIN_ROWS = 20_000
 STEPS = 150
 
@@ -98,11 +99,13 @@ def fit_logistic(labels: np.ndarray, rows: list[np.ndarray], scale: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the bias. docs: doc_id, text; labels: doc_id, toxic (rows to learn from)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_rows)
+    share = min(1.0, 0.95 * max_rows / max(1, known.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))
+    sample = staged(known.where(place).limit(max_rows), "toxicity-sample", max_rows)
     rows = docs.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     weights = np.zeros(1 << BITS, np.float32)
-    totals = known.limit(max_rows).count(), sample.agg(F.sum("toxic")).first()[0] or 0
+    totals = sample.count(), sample.agg(F.sum("toxic")).first()[0] or 0
     if not len(counts) or not 0 < totals[1] < totals[0]:
         return weights, float(np.log((totals[1] + 0.5) / (totals[0] - totals[1] + 0.5)))
     toxic, clean = counts.toxic.to_numpy() + 1.0, counts.clean.to_numpy() + 1.0

@@ -28,6 +28,7 @@ from .common import ROWS_PER_FILE, broadcast_within, shared_dir, staged
 BLOCK_LINES = 256
 MAX_BLOCKS = 500_000
 MAX_BROADCAST_ROWS = 200_000
+READS_PER_TASK = 5_000
 DATE = "1970-01-01T00:00:00Z"
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 
@@ -208,7 +209,7 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
         for f in files.values():
             f.close()
 
-    sought = keys.repartitionByRange("key").sortWithinPartitions("key")
+    sought = keys.repartitionByRange(max(1, -(-archive.captures // READS_PER_TASK)), "key").sortWithinPartitions("key")
     return sought.mapInArrow(read, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
