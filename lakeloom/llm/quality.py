@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .common import broadcast_within, staged, words_of
 
 #: metric -> (slack added to the upper fence, whether there is a lower fence as well)
-METRICS = {"symbols": (30, False), "repeats": (300, False), "dup_lines": (300, False), "word_length": (1500, True)}
+METRICS = {"symbols": (30, False), "repeats": (300, False), "dup_lines": (500, False), "word_length": (1500, True)}
 FENCE = 3
 MIN_GROUP = 50
 MAX_BROADCAST_GROUPS = 100_000
