@@ -56,7 +56,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares of source, language and topic follow the raked weights."""
-    return mix(docs).where("kept").select(*docs.columns)
+    own = [F.col(c).alias(f"__d{i}") for i, c in enumerate(docs.columns)]  # extra columns may have the names that mix gives
+    mixed = mix(docs.select("doc_id", "text", "lang", "source", *own)).where("kept")
+    return mixed.select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
