@@ -49,7 +49,7 @@ def model(base, delta, sets, actions):
 small = st.tuples(st.integers(0, 5) | st.none(), st.sampled_from("xyz") | st.none(), st.integers(0, 3) | st.none())
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(small, max_size=6), st.sampled_from([None, "REPLACE", "IGNORE"]), st.sampled_from(["REPLACE", "IGNORE", "ABORT"]))
 def test_insert_follows_the_sequential_model(spark, delta, statement, declared):
     table = TableDef("t", T.columns, ["id"], declared, [Unique(["a"], declared), Unique(["b"], "IGNORE")])
