@@ -161,6 +161,8 @@ def test_archive_round_trip(spark):
         assert r["payload_bytes"] == len(b) and r["payload_digest"] == base64.b32encode(hashlib.sha1(b).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == top else ("revisit", top))
         assert r["payload"] == (b if r["record_type"] == "response" else None)
+    alone = spark.createDataFrame([(None, "http://n/", "same"), (4, "http://n/", "same"), (None, None, "other")], "page_id long, url string, html string")
+    assert sorted((r["page_id"] is None, r["record_type"], r["refers_to"] or 0) for r in warc.archive_round_trip(alone).collect()) == [(False, "response", 0), (True, "response", 0), (True, "revisit", 4)]
     assert {r["record_type"] for r in warc.archive_round_trip(pages, min_bytes=10).where("page_id IN (1, 5)").collect()} == {"response"}
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
