@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-ROWS_PER_BLOCK = 2_000_000
+ROWS_PER_BLOCK = 200_000
 
 
 def draw_hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
