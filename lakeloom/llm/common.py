@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 50_000
 
 
 def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: it cuts lineage and survives lost executors.
 
-    rows, for tables of narrow rows: how many there are at most; they are written in files of 250,000 or so
+    rows, for tables of narrow rows: how many there are at most; they are written in files of 50,000 or so
     instead of one for each shuffle partition.
     """
     spark = df.sparkSession
