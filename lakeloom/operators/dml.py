@@ -7,9 +7,9 @@ through others, form a component, and each component is resolved in order on its
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,80 +131,115 @@ def _resolved(base: DataFrame, delta: DataFrame, table: TableDef, ordinal: str,
     sets = [(pk, True, resolve_action(action, table.on_conflict))]
     sets += [(u.columns, False, resolve_action(action, u.on_conflict)) for u in table.unique if not u.partial or table.strict]
     old = [f"old_{c}" for c in pk if f"old_{c}" in delta.columns]
-    text = lambda cs, i, null: F.when(F.lit(null) | ~F.array_contains(F.transform(F.array(*[F.col(c).cast("string") for c in cs]), lambda x: x.isNull()), True), F.concat_ws("\x1f", F.lit(str(i)), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cs]))
+    kinds = {f.name: f.dataType for f in base.schema}
+
+    def part(name: str, column: str) -> Column:
+        c = F.col(name).cast(kinds[column])
+        c = (c + F.lit(0.0) if kinds[column].typeName() in ("double", "float") else c).cast("string")  # -0.0 is 0.0
+        return F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit("="), c), F.lit("-"))
+
+    def text(names: list[str], cs: list[str], i: int, null: bool) -> Column:
+        """One text for each value of set i, the lengths in front of its parts; null where the value takes no part."""
+        whole = F.concat(F.lit(f"{i}:"), *[part(n, c) for n, c in zip(names, cs)]).cast("binary")
+        for n in [] if null else names:
+            whole = F.when(F.col(n).isNotNull(), whole)
+        return whole
 
     def values(df: DataFrame, with_old: bool) -> DataFrame:
-        parts = [text(cs, i, null) for i, (cs, null, _) in enumerate(sets)]
-        if with_old and old:
-            parts.append(text(old, 0, True))
-        return df.withColumn("__values", F.array_compact(F.array(*parts)))
+        out = df.withColumn("__held", F.array(*[text(cs, cs, i, null) for i, (cs, null, _) in enumerate(sets)]))
+        out = out.withColumn("__was", text(old, pk, 0, True) if with_old and old else F.lit(None).cast("binary"))
+        return out.withColumn("__values", F.array_compact(F.array_append("__held", F.col("__was"))))
 
     new = values(delta.withColumn("__node", F.concat(F.lit("d"), F.col(ordinal).cast("string"))), True)
-    own = values(base.withColumn("__node", F.concat(F.lit("b"), F.xxhash64(*columns).cast("string"), text(pk, 0, True))), False)
+    own = values(base.withColumn("__node", F.concat(F.lit("b"), F.xxhash64(*columns).cast("string"), F.lower(F.hex(text(pk, pk, 0, True))))), False)
     touched = new.select(F.explode("__values").alias("v")).distinct()
     near = own.join(own.select("__node", F.explode("__values").alias("v")).join(touched, "v", "left_semi").select("__node").distinct(), "__node", "left_semi")
     # rows that an eviction may free or block lie one step from the batch: base rows do not conflict with each other
     labels = new.select("__node", F.explode("__values").alias("v")).unionByName(near.select("__node", F.explode("__values").alias("v")))
     labels = components(labels)
-    fields = [*columns, *old]
-    shape = lambda df, op: df.join(labels, "__node").select("comp", op.alias("__op"), *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in fields], *([F.col(ordinal).cast("long").alias("__ord")] if ordinal in df.columns else [F.lit(-1).cast("long").alias("__ord")]))
-    events = shape(near, F.lit("base")).unionByName(shape(new, F.col("__op")))
+    shape = lambda df, op, late, at: df.join(labels, "__node").select("comp", op.alias("__op"), F.lit(late).alias("__late"), at.cast("long").alias("__ord"), "__held", "__was", *[F.col(c).cast(kinds[c]).alias(c) for c in columns])
+    events = shape(near, F.lit("base"), 0, F.lit(0)).unionByName(shape(new, F.col("__op"), 1, F.col(ordinal)))
     name = table.name
 
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by component and order stream through; of one component the rows kept so far are held."""
+        comp, kind = None, None
         kept: dict[int, dict] = {}
-        value = lambda row, cs, null: None if not null and any(pd.isna(row[c]) for c in cs) else tuple(None if pd.isna(row[c]) else row[c] for c in cs)
-
-        def holder(row: dict, cs: list[str], null: bool, without: set[int]) -> int | None:
-            v = value(row, cs, null)
-            return None if v is None else next((i for i, r in kept.items() if i not in without and value(r, cs, null) == v), None)
-
-        for n, row in enumerate(pdf.sort_values("__ord", kind="stable").to_dict("records")):
-            if row["__op"] == "base":
-                kept[n] = row
-                continue
-            mine: set[int] = set()
-            if row["__op"] == "update":
-                before = {c: row[f"old_{c}"] for c in pk}
-                at = holder(before, pk, True, set())
-                if at is None:
-                    continue  # no such row
-                mine = {at}
-            evicted, blocked = set(), None
-            for cs, null, how in sets:
-                at = holder(row, cs, null, mine | evicted)
-                if at is None:
+        holder: dict[bytes, int] = {}
+
+        def leave(at: int) -> None:
+            for v in kept.pop(at)["__held"]:
+                if holder.get(v) == at:
+                    del holder[v]
+
+        def enter(at: int, row: dict) -> None:
+            kept[at] = row
+            for v in row["__held"]:
+                if v is not None:
+                    holder[v] = at
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            rows = list(kept.values())
+            for a in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows[a : a + 10_000]], kind)
+
+        n = 0
+        for batch in batches:
+            kind = pa.schema([batch.schema.field(c) for c in columns])
+            for row in batch.to_pylist():
+                n += 1
+                if row["comp"] != comp:
+                    yield from settled()
+                    comp, kept, holder = row["comp"], {}, {}
+                if row["__op"] == "base":
+                    enter(n, row)
+                    continue
+                gone: list[int] = []
+                if row["__op"] == "update":
+                    at = holder.get(row["__was"])
+                    if at is None:
+                        continue  # no such row
+                    gone.append(at)
+                blocked = None
+                for v, (cs, _, how) in zip(row["__held"], sets):
+                    at = holder.get(v) if v is not None else None
+                    if at is None or at in gone:
+                        continue
+                    if how == "REPLACE":
+                        gone.append(at)
+                    else:
+                        blocked = how
+                        break
+                if blocked == "IGNORE":
                     continue
-                if how == "REPLACE":
-                    evicted.add(at)
-                else:
-                    blocked = how
-                    break
-            if blocked == "IGNORE":
-                continue
-            if blocked:
-                raise ConstraintError(f"UNIQUE constraint failed: {', '.join(f'{name}.{c}' for c in cs)}")
-            for at in mine | evicted:
-                del kept[at]
-            kept[n] = row
-        return pd.DataFrame([{c: r[c] for c in columns} for r in kept.values()], columns=columns)
-
-    settled = events.groupBy("comp").applyInPandas(in_order, base.schema)
+                if blocked:
+                    raise ConstraintError(f"UNIQUE constraint failed: {', '.join(f'{name}.{c}' for c in cs)}")
+                for at in gone:
+                    leave(at)
+                enter(n, row)
+        yield from settled()
+
+    settled = events.repartition("comp").sortWithinPartitions("comp", "__late", "__ord").mapInArrow(in_order, base.schema)
     return base.join(near.select(*columns), _null_safe(base, near, pk), "left_anti").unionByName(settled)
 
 
-def components(values: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(__node, v) -> (__node, comp): nodes that share values, directly or through others. Each round is checkpointed."""
+def components(values: DataFrame) -> DataFrame:
+    """(__node, v) -> (__node, comp): nodes that share values, directly or through others.
+
+    Until no label changes, labels flow along values and jump: a node takes the label that its least neighbour's
+    label has itself, so long chains take few rounds. Each round is checkpointed.
+    """
+    values = _saved(values.select("__node", "v").distinct())
     labels = values.select("__node").distinct().withColumn("comp", F.col("__node"))
-    for _ in range(most_rounds):
+    while True:
         by_value = values.join(labels, "__node").groupBy("v").agg(F.min("comp").alias("low"))
-        new = values.join(by_value, "v").groupBy("__node").agg(F.min("low").alias("new"))
-        both = labels.join(new, "__node", "left").select("__node", F.col("comp").alias("old"), F.least("comp", F.coalesce("new", "comp")).alias("comp"))
-        both = _saved(both)
-        labels = both.select("__node", "comp")
-        if not both.where("old != comp").limit(1).count():
-            break
-    return labels
+        near = values.join(by_value, "v").groupBy("__node").agg(F.min("low").alias("via"))  # its own label is among them
+        moved = labels.withColumnRenamed("comp", "old").join(near, "__node")
+        ahead = labels.select(F.col("__node").alias("via"), "comp")
+        moved = _saved(moved.join(ahead, "via").select("__node", "old", "comp"))
+        labels = moved.select("__node", "comp")
+        if not moved.where("old != comp").limit(1).count():
+            return labels
 
 
 def _saved(df: DataFrame) -> DataFrame:

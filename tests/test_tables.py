@@ -87,6 +87,27 @@ def test_key_moves(spark):
     assert rows_of(dml.update(base, shift.where("old_id = 1"), table, "ord", "IGNORE")) == [(1, "x", 1), (2, "y", 2)]
 
 
+def test_long_chains_of_shared_values(spark):
+    table = TableDef("t", T.columns, ["id"])
+    base = frame(spark, [(i, f"r{i}", i) for i in range(300)])
+    up = base.select((F.col("id") + 1).alias("id"), "a", "b", F.col("id").alias("old_id"), (-F.col("id")).alias("ord"))
+    assert rows_of(dml.update(base, up, table, "ord")) == sorted([(i + 1, f"r{i}", i) for i in range(300)], key=repr)
+    with pytest.raises(Exception, match="UNIQUE"):
+        dml.update(base, up.withColumn("ord", F.col("id")), table, "ord").collect()
+    for actions in (["REPLACE"] * 3, ["REPLACE", "REPLACE", "IGNORE"], ["IGNORE"] * 3):
+        pairs = TableDef("t", T.columns, ["id"], actions[0], [Unique(["a"], actions[1]), Unique(["b"], actions[2])])
+        delta = [(i, f"a{i // 2}", (i + 1) // 2) for i in (j * 77 % 240 for j in range(240))]
+        new = frame(spark, [(*r, i) for i, r in enumerate(delta)], ", ord long")
+        assert rows_of(dml.insert(frame(spark, [(900, "a5", 70)]), new, pairs, "ord")) == model([(900, "a5", 70)], delta, [(0, True), (1, False), (2, False)], actions)
+
+
+def test_values_stay_exact_and_apart(spark):
+    big = 2**53
+    table = TableDef("t", T.columns, ["id"], "REPLACE", [Unique(["a", "b"], "REPLACE")])
+    new = frame(spark, [(big, "x", 1, -9), (big + 1, "y", None, -8), (None, "y", None, -7)], ", ord long")
+    assert rows_of(dml.insert(frame(spark, [(5, "x", 1)]), new, table, "ord")) == sorted([(big, "x", 1), (big + 1, "y", None), (None, "y", None)], key=repr)
+
+
 def test_upsert_and_delete(spark):
     base = frame(spark, [(1, "x", 1), (2, "y", 2)])
     new = frame(spark, [(2, "q", 5, 0), (3, "z", 3, 1)], ", ord long")
