@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Names of HTML elements, and words of class, id and role attributes that mark what is no article.
-HIDDEN = frozenset("script style template noscript iframe object embed svg math canvas select option textarea button head title datalist audio video map".split())
+HIDDEN = frozenset("script style template noscript iframe object svg math canvas select option textarea button head title datalist audio video map".split())
+#: Their text is not markup: without an end tag it goes on to the end of the page, and they cannot be self-closed.
+RAW = frozenset("script style textarea title".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address summary".split())
@@ -31,6 +33,7 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"'/]+)/\Z")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -59,7 +62,7 @@ class Page:
                 self.links += len(s.strip())
 
     def read(self, source: str) -> None:
-        at = 0
+        at, unclosed = 0, set()  # names without an end tag from here on
         while True:
             m = TOKEN.search(source, at)
             if not m:
@@ -74,10 +77,15 @@ class Page:
                 self.end(name)
                 continue
             if name in HIDDEN:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                if name in ("head", "svg", "object", "template", "button", "map") and not close:
+                if name in unclosed or (name not in RAW and SELF_CLOSED.search(m[3] or m[6] or "")):
                     continue
-                at = close.end() if close else len(source)
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                if close:
+                    at = close.end()
+                elif name in RAW:
+                    at = len(source)
+                else:
+                    unclosed.add(name)
                 continue
             self.begin(name, m[3] or m[6] or "")
         self.flush()

@@ -128,6 +128,14 @@ def test_patience_alignment():
     assert licenses.align([], b) == licenses.align(a, []) == []
 
 
+@pytest.mark.parametrize("tag", ["<embed src='x'>", "<EMBED/>", "<iframe/>", "<iframe src='x' />", "<canvas hidden/>", "<math/>", "<svg/>", "<select><option>", "<noscript>", "<audio controls>", "<video>"])
+def test_tags_without_an_end_hide_no_text(tag):
+    page = "<body><p>Before it, a text.</p>{}<p>After it, a text.</p></body>"
+    assert main_text.main_text(page.format(tag)) == "Before it, a text.\nAfter it, a text."
+    assert main_text.main_text(page.format("<iframe src=a/>hidden</iframe>")) == "Before it, a text.\nAfter it, a text."
+    assert main_text.main_text(page.format("<script/>var a;")) == "Before it, a text."
+
+
 def test_license_scan(spark):
     mit = next(t for n, k, t in licenses.NOTICES if k == "sublicense")
     changed = mit.replace("free of charge", "without any charge").replace("merge, ", "")
