@@ -223,7 +223,7 @@ def invalidation_cascade(spark, sf):
     reads = table(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("action"), F.col("l_partkey").alias("block"), F.col("l_linenumber").cast("int").alias("rev"))
     writes = table(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("action"), F.col("o_custkey").alias("block"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("rev"))
     roots = spark.range(5, 6).select(F.col("id").alias("action"))
-    return changes.cascade(reads, writes, roots, 12, lambda df: saved(df, "cascade"))
+    return changes.cascade(reads, writes, roots, 12, lambda df: saved(df, "cascade")).drop("escalation")
 
 
 @query("""SELECT l_orderkey AS action, CASE WHEN bool_or(l_discount = 0.1) THEN 'unevaluable' WHEN bool_or(l_quantity <> greatest(l_quantity, 3)) THEN 'invalidate' ELSE 'retain' END AS verdict FROM lineitem GROUP BY l_orderkey""")

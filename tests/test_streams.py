@@ -63,3 +63,19 @@ def test_cascade(spark, depth, expected):
     writes = spark.createDataFrame([(1, "b1", 1), (2, "b2", 2), (3, "b3", 3)], "action long, block string, rev long")
     got = changes.cascade(reads, writes, spark.createDataFrame([(1,)], "action long"), depth)
     assert {r["action"]: r["depth"] for r in got.collect()} == expected
+
+
+def test_cascade_goes_on_to_the_end_or_says_where_it_stopped(spark):
+    n = 36
+    writes = spark.createDataFrame([(i, "b", i) for i in range(n)], "action long, block string, rev long").cache()
+    reads = writes.where(F.col("action") > 0).withColumn("rev", F.col("rev") - 1).cache()
+    roots = spark.createDataFrame([(0,)], "action long")
+    run = lambda **limits: sorted(tuple(r) for r in changes.cascade(reads, writes, roots, stage=lambda df: df.localCheckpoint(), **limits).collect())
+    assert run() == run(max_depth=n - 1, max_transactions=n - 1) == [(i, i, None) for i in range(n)]
+    assert run(max_depth=3) == [(i, i, "max-depth") for i in range(4)]
+    assert run(max_transactions=3) == [(i, i, "max-transactions") for i in range(4)]
+    named = [df.withColumn("collection", F.lit("c")) for df in (reads, writes)]
+    assert changes.cascade(*named, roots, 2).count() == 3
+    loop = named[0].unionByName(spark.createDataFrame([(1, "b", 2, "c")], "action long, block string, rev long, collection string"))
+    with pytest.raises(ValueError, match="back edge: action 1 at revision 1 read b@2"):
+        changes.cascade(loop, named[1], roots, stage=lambda df: df.localCheckpoint())
