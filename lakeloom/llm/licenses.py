@@ -1,8 +1,9 @@
 """License scans by patience alignment with known notices.
 
-Around each occurrence of a notice's key word, text and notice are aligned: words that are unique on both sides
-are anchors, the longest increasing run of them stays, and the gaps between anchors are aligned in the same way.
-Coverage is the share of the notice's words that are aligned.
+Text and notice are aligned: words that are unique on both sides are anchors, the longest increasing run of them
+stays, and the gaps between anchors are aligned in the same way. Coverage is the share of the notice's words that
+are aligned. A place with enough coverage misses so few words that it has one at least of the notice's seeds, which
+are one more than that: its rarest words among all notices. Windows around seeds are aligned.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Names, key words and texts of license notices.
+# Names, key words (seeds in any case) and texts of license notices.
 NOTICES = (
     ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
@@ -28,6 +30,24 @@ NOTICES = (
     ("CC-BY-NC-4.0", "nc", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "noncommercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("GPL-2.0", "gnu", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "gnu", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "lesser", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "lesser", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "lesser", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "lesser", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "affero", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "affero", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "mozilla", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("ISC", "isc", "Released under the ISC License."),
+    ("ISC", "fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "cc0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "dedication", "This work is marked with the Creative Commons CC0 1.0 Universal Public Domain Dedication."),
+    ("CC-BY-4.0", "by", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "sa", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "sharealike", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "unencumbered", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("BSD", "redistributions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
 )
 WORD = re.compile(r"[a-z0-9]+")
@@ -76,39 +96,84 @@ def align(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-PREPARED = [(name, key, WORD.findall(notice.lower())) for name, key, notice in NOTICES]
-KEYS = frozenset(key for _, key, _ in PREPARED)
+@dataclass(frozen=True)
+class Notice:
+    name: str
+    words: list[str]
+    counts: Counter
+    needed: int  # aligned words that MIN_COVERAGE asks for
+    slack: int  # words between aligned ones that MIN_DENSITY allows
+
+
+def prepared() -> tuple[list[Notice], dict[str, list[tuple[int, int]]]]:
+    """Notices, and of each seed word its notices and places in them."""
+    out, at = [], {}
+    texts = [WORD.findall(notice.lower()) for _, _, notice in NOTICES]
+    spread = Counter(w for words in texts for w in set(words))
+    for i, ((name, key, _), words) in enumerate(zip(NOTICES, texts)):
+        needed = next(x for x in range(len(words) + 1) if x / len(words) >= MIN_COVERAGE)
+        out.append(Notice(name, words, Counter(words), needed, int(len(words) * (1 / MIN_DENSITY - 1)) + 1))
+        rarest = sorted(range(len(words)), key=lambda j: (words[j] != key, spread[words[j]], -len(words[j]), j))
+        for j in rarest[: len(words) - needed + 1]:
+            at.setdefault(words[j], []).append((i, j))
+    return out, at
+
+
+PREPARED, SEEDS = prepared()
+
+
+def places(words: list[str], notice: Notice, starts: list[int]) -> list[tuple[int, int, int]]:
+    """(aligned words, first, end) around each supposed start of the notice: within its length, and in wider windows."""
+    out, n = [], len(notice.words)
+    for start in starts:
+        if out and start < out[-1][2] - n // 2 and out[-1][0] == n:
+            continue  # a seed of the place before
+        best = (0, 0, 0)
+        for slack in (0, 2 + n // 4, notice.slack):
+            low, high = max(0, start - slack), max(0, start + n + slack)
+            here = Counter(words[low:high])
+            if sum(min(c, here[w]) for w, c in notice.counts.items()) < notice.needed:
+                continue
+            pairs = align(words[low:high], notice.words)
+            if len(pairs) < notice.needed or len(pairs) <= best[0]:
+                continue
+            if len(pairs) >= MIN_DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
+                best = (len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1)
+        if best[0]:
+            out.append(best)
+    return out
 
 
 def scan(text: str | None) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first word, end word) of each license that is found, by its best place."""
+    """(license, coverage, first word, end word) of each place of a license, in the order of names and places.
+
+    Of places that overlap, the one with the most aligned words stays, then that of the greatest coverage.
+    """
     words = WORD.findall((text or "").lower())
-    places: dict[str, list[int]] = {}
+    starts: dict[int, set[int]] = {}
     for i, w in enumerate(words):
-        if w in KEYS:
-            places.setdefault(w, []).append(i)
-    best: dict[str, tuple[float, int, int]] = {}
-    for name, key, notice in PREPARED:
-        needed, first = set(notice), notice.index(key)
-        for at in places.get(key, ()):
-            slack = 2 + len(notice) // 4
-            low = max(0, at - first - slack)
-            part = words[low : at + len(notice) - first + slack]
-            if len(needed.intersection(part)) < MIN_COVERAGE * len(needed):
-                continue
-            pairs = align(part, notice)
-            if not pairs:
-                continue
-            coverage, span = len(pairs) / len(notice), pairs[-1][0] - pairs[0][0] + 1
-            if coverage >= MIN_COVERAGE and len(pairs) >= MIN_DENSITY * span and coverage > best.get(name, (0, 0, 0))[0]:
-                best[name] = (coverage, low + pairs[0][0], low + pairs[-1][0] + 1)
-    return sorted((name, *found) for name, found in best.items())
+        for notice, j in SEEDS.get(w, ()):
+            starts.setdefault(notice, set()).add(i - j)
+    have = Counter(words) if starts else Counter()
+    found = []
+    for i, some in starts.items():
+        notice = PREPARED[i]
+        if sum(min(c, have[w]) for w, c in notice.counts.items()) >= notice.needed:
+            found += [(aligned, aligned / len(notice.words), notice.name, first, end) for aligned, first, end in places(words, notice, sorted(some))]
+    taken = bytearray(len(words))
+    out = []
+    for _, coverage, name, first, end in sorted(set(found), key=lambda x: (-x[0], -x[1], x[4] - x[3], x[2], x[3])):
+        if not any(taken[first:end]):
+            taken[first:end] = b"\x01" * (end - first)
+            out.append((name, coverage, first, end))
+    return sorted(out, key=lambda x: (x[0], x[2]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_licenses, licenses (comma-joined), coverage of the best, spans.
 
-    spans lists license, coverage, first and end word. Null and empty texts have none; equal rows get equal results.
+    spans lists license, coverage, first and end word of every place; places do not overlap. n_licenses counts places,
+    licenses tells each license once. Null and empty texts have none; equal rows get equal results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +184,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 found = [scan(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([",".join(x[0] for x in f) for f in found]),
+                        part.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([",".join(sorted({x[0] for x in f})) for f in found]),
                         pa.array([max((x[1] for x in f), default=0.0) for f in found], pa.float64()),
                         pa.array([[dict(zip(("license", "coverage", "first", "end"), x)) for x in f] for f in found], kind),
                     ],

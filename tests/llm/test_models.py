@@ -136,6 +136,19 @@ def test_tags_without_an_end_hide_no_text(tag):
     assert main_text.main_text(page.format("<script/>var a;")) == "Before it, a text."
 
 
+def test_license_places():
+    names = lambda text: [x[0] for x in licenses.scan(text)]
+    for name, _, text in licenses.NOTICES:
+        assert names(f"some words {text} more words") == [name] and names(f"{text} {text}") == [name, name]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert names("Released under the MIT License, or licensed under CC0 1.0 Universal. Prose. Released under the MIT License.") == ["CC0-1.0", "MIT", "MIT"]
+    for i, (name, _, text) in enumerate(licenses.NOTICES):
+        words = licenses.WORD.findall(text.lower())
+        if len(words) >= 20:  # every sixth word misspelt, key words too, but for those that tell versions apart
+            for first in range(6):
+                assert names(" ".join(w if j % 6 != first or w.isdigit() or w in ("lesser", "affero") else w + "x" for j, w in enumerate(words))) == [name], (i, first)
+
+
 def test_license_scan(spark):
     mit = next(t for n, k, t in licenses.NOTICES if k == "sublicense")
     changed = mit.replace("free of charge", "without any charge").replace("merge, ", "")
