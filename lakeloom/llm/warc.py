@@ -166,11 +166,26 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
     spark, folder = keys.sparkSession, archive.folder
     rows = sorted((r["first"], r["file"], r["offset"], r["length"]) for r in archive.directory.collect())  # at most MAX_BLOCKS
     blocks = spark.sparkContext.broadcast(rows)
+    per_task = max(1, READS_PER_TASK * len(rows) // max(1, archive.captures))  # blocks; a key of many captures lies in many
+
+    def packed(pairs: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.int32())], names=["key", "block"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [b[0] for b in blocks.value]
+        for batch in batches:
+            pairs: list[tuple[str, int]] = []
+            for key in batch.column(0).to_pylist():
+                for block in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
+                    pairs.append((key, block))
+                    if len(pairs) == 10_000:
+                        yield packed(pairs)
+                        pairs = []
+            yield packed(pairs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         table, files, cached = blocks.value, {}, {}
-        firsts = [b[0] for b in table]
         kind = pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
         def span(name: str, offset: int, length: int) -> bytes:
@@ -190,11 +205,10 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
 
         for batch in batches:
             wanted = []
-            for key in batch.column(0).to_pylist():
-                for block in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
-                    lines = entries(block)
-                    low = bisect_left(lines, key, key=lambda x: x[0])
-                    wanted += lines[low : bisect_right(lines, key, key=lambda x: x[0])]
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = entries(block)
+                low = bisect_left(lines, key, key=lambda x: x[0])
+                wanted += lines[low : bisect_right(lines, key, key=lambda x: x[0])]
             wanted.sort(key=lambda x: (x[2], x[3]))
             for a in range(0, len(wanted), 64):
                 out = []
@@ -209,7 +223,8 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
         for f in files.values():
             f.close()
 
-    sought = keys.repartitionByRange(max(1, -(-archive.captures // READS_PER_TASK)), "key").sortWithinPartitions("key")
+    sought = keys.mapInArrow(find, "key string, block int")
+    sought = sought.repartitionById(max(1, -(-len(rows) // per_task)), F.floor(F.col("block") / per_task).cast("int")).sortWithinPartitions("block", "key")
     return sought.mapInArrow(read, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions import digest
 from lakeloom.plans.scan_queries import revisions
 from lakeloom.registry import query, table
 from lakeloom.streaming import flows, stateful, steps
@@ -75,7 +76,9 @@ def forwarder_pipeline(spark, sf):
 
 @query()
 def resident_topics(spark, sf):
-    log = timed(spark, sf).select(F.lit(0).alias("node"), F.col("user_id").cast("string").alias("topic"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("n"), "event_id").where("event_id < 2000")
+    """Topics live on the node that their hash names, each with its own cap."""
+    topic = F.col("user_id").cast("string")
+    log = table(spark, sf, "events").select(digest.hash_mod(F.encode(topic, "utf-8"), 8).cast("int").alias("node"), topic.alias("topic"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("n"), "event_id")
     return stateful.in_batch(log, ["node"], ["event_id"], steps.resident(cap=100), "node int, topic string, outcome string, evicted string")
 
 

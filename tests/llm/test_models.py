@@ -197,3 +197,14 @@ def test_index_blocks_and_look_up(spark, monkeypatch):
     assert sorted(r["page_id"] for r in warc.look_up(archive, keys).collect()) == [12]
     assert sorted(r["page_id"] for r in warc.look_up(archive, warc.url_keys(pages)).collect()) == list(range(100))
     assert warc.url_key("HTTP://User@Www.Example.com:80/a?b#c") == "com,example,www)/a?b"
+
+
+def test_captures_of_one_key_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 5)
+    monkeypatch.setattr(warc, "READS_PER_TASK", 10)
+    pages = spark.createDataFrame([(i, None if i % 3 else f"http://h.org/{i}", f"<p>{i}") for i in range(90)], "page_id long, url string, html string")
+    archive = warc.write_archive(pages)
+    got = warc.look_up(archive, spark.createDataFrame([(warc.url_key(None),)], "key string")).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["page_id"] for r in got) == [i for i in range(90) if i % 3]
+    assert max(Counter(r["task"] for r in got).values()) <= 10
+    assert sorted(r["page_id"] for r in warc.look_up(archive, warc.url_keys(pages)).collect()) == list(range(90))

@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom import registry
 from lakeloom.operators import changes, metrics
 from lakeloom.streaming import flows, stateful, steps
 
@@ -79,3 +80,10 @@ def test_cascade_goes_on_to_the_end_or_says_where_it_stopped(spark):
     loop = named[0].unionByName(spark.createDataFrame([(1, "b", 2, "c")], "action long, block string, rev long, collection string"))
     with pytest.raises(ValueError, match="back edge: action 1 at revision 1 read b@2"):
         changes.cascade(loop, named[1], roots, stage=lambda df: df.localCheckpoint())
+
+
+def test_resident_topics_takes_every_event_on_its_node(spark):
+    sf = "/root/testdata/sf0.01"
+    out = registry.QUERIES["resident_topics"](spark, sf)
+    assert out.count() == registry.table(spark, sf, "events").count()
+    assert out.groupBy("topic").agg(F.countDistinct("node").alias("n")).where("n > 1").count() == 0 and out.select("node").distinct().count() > 16
