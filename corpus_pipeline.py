@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Rows are told apart by
 doc_id and text, so null ids and repeated rows pass as they are until the second stage, which keeps one row
-for each doc_id of those that it keeps. An empty table stays empty; extra columns are passed on.
+of each group of near duplicates. An empty table stays empty; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -37,15 +37,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked at Jaccard 0.8 over five-word shingles."""
+    """One document, that of the least doc_id (nulls last), of each group linked at Jaccard 0.8 over five-word shingles.
+
+    Rows are told apart by doc_id and text; of rows that agree in both, one is kept. Documents without words are no
+    near duplicates of others.
+    """
     rows = docs.count()
-    found = staged(jaccard_components(docs, k=5, num=80, den=100), "near-duplicates", rows)
-    keep = found.where("component_id = doc_id")
-    ids = keep.select("doc_id").distinct()
-    kept = docs.join(broadcast_within(staged(ids, "kept-ids", rows), MAX_BROADCAST_KEYS), "doc_id", "left_semi")
-    if keep.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    keyed = _keyed(docs)
+    found = staged(jaccard_components(keyed.select("__row", "text"), key="__row", k=5, num=80, den=100), "near-duplicates", rows)
+    named = found.select("__row", "component_id").distinct().join(keyed.select("__row", "doc_id").distinct(), "__row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    ids = staged(best.select(F.col("best.__row").alias("__row")), "kept-ids", rows)
+    kept = keyed.join(broadcast_within(ids, MAX_BROADCAST_KEYS), "__row", "left_semi")
+    if found.groupBy("__row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__row"])
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

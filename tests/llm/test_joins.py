@@ -144,6 +144,13 @@ def test_pipeline_equals_brute_force(spark):
     assert max(counts.values()) - min(counts.values()) <= 1
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(7, one), (7, two), (7, two), (5, two + " end"), (8, three), (None, three), (None, one + " x y z v w u t s r q p o n m l k")]
+    out = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[3], rows[4], rows[6]], key=repr)
+
+
 def test_pipeline_stages_on_awkward_rows(spark):
     docs = awkward(spark)
     for name, f in corpus_pipeline.STAGES:
