@@ -1,15 +1,17 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-Word counts of all training documents form the vocabulary. Its most frequent words, the end mark and one class
-for all other words are the model's outputs; a word of that class is told apart by its add-one share of the
-class. Two context words predict a vector, q = r1 * c1 + r2 * c2, that is scored against all outputs. Rounds of
-training run over disjoint parts of the corpus: each task descends on its own documents, then parameters are
-averaged by tokens. As a score is a sum of one term for each context word, matrix products give every logit and
-every normaliser beforehand: P(w | w1, w2) = exp(A1[w1, w] + A2[w2, w] + b[w]) / Z[w1, w2].
+Word counts of all training documents form the vocabulary. The model's outputs are the end mark, the most frequent
+words and classes of all other words, those that end in the same three bytes (hashed); within its class a word has
+its add-one share, with room for one word that was never seen. Two context words predict a vector,
+q = r1 * c1 + r2 * c2, that is scored against all outputs. Each round of training runs over the whole corpus: a task
+descends on its own documents, then parameters are averaged by tokens. As a score is a sum of one term for each
+context word, matrix products give every logit and every normaliser beforehand:
+P(w | w1, w2) = exp(A1[w1, w] + A2[w2, w] + b[w]) / Z[w1, w2].
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,49 +22,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textvec import Words, slices
+from .textvec import Words, mix64, slices
 
-OUTPUTS = 1024
+#: Outputs: the end mark, LISTED words and CLASSES of the others. The tables of the model have their squared number of entries.
+LISTED = 511
+CLASSES = 1536
+SUFFIX = 3
 DIM = 16
 ROUNDS = 2
+RATE = 0.1
+#: Each block of tokens is told apart from NOISE words of its own; BATCH tokens make a step.
 NOISE = 16
-BATCH = 16384
+BLOCK = 256
+BATCH = 4096
 TOP_WORDS = 1 << 18
-END, OTHER = 0, 1
+#: At most so many tasks descend, each over the partitions that coalesce gives it.
+MAX_TRAINERS = 4096
+END = 0
 
 
 @dataclass
 class Vocabulary:
     hashes: np.ndarray  # of the top words, sorted
     counts: np.ndarray
-    ids: np.ndarray  # their output, OTHER where they have none
+    ids: np.ndarray  # their output: 1 to the number of listed words, or -1 for words scored by their class
+    listed: int
     unigram: np.ndarray  # probability of each output
+    mass: np.ndarray  # of each class: sum of count + 1 over its words, and 1 for all unseen ones
     tokens: int
     types: int
     ends: int
-    rare_mass: float  # sum of count + 1 over words of the class OTHER, and 1 for all unseen ones
+
+
+def classes_of(words: Words) -> np.ndarray:
+    """The class of each word: a hash of its last bytes, in lower case."""
+    lower = np.arange(256)
+    lower[65:91] += 32
+    value = np.zeros(len(words.start), np.uint64)
+    for j in range(1, SUFFIX + 1):
+        at = words.end - j
+        value = value * np.uint64(257) + np.where(at >= words.start, lower[words.data[np.maximum(at, 0)]], 256).astype(np.uint64)
+    return (mix64(value, 5) % np.uint64(CLASSES)).astype(np.int64)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, sizes, total = [], [], 0
-    emit = lambda h, c: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["word", "c"])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    total = 0
+    emit = lambda h, k, c: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(c)], names=["word", "cls", "c"])
 
     def merged():
-        h, inverse = np.unique(np.concatenate(held), return_inverse=True)
-        return h, np.bincount(inverse, weights=np.concatenate(sizes)).astype(np.int64)
+        every, kinds, sizes = (np.concatenate(x) for x in zip(*held))
+        h, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+        return h, kinds[first], np.bincount(inverse, weights=sizes).astype(np.int64)
 
     for batch in batches:
         for _, data, ends in slices(batch, "text"):
-            h, c = np.unique(Words(data, ends).hash, return_counts=True)
-            held.append(h)
-            sizes.append(c)
+            words = Words(data, ends)
+            h, first, c = np.unique(words.hash, return_index=True, return_counts=True)
+            held.append((h, classes_of(words)[first], c))
             total += len(h)
             if total > 2_000_000:
-                h, c = merged()
-                held, sizes, total = [h], [c], len(h)
+                held = [merged()]
+                total = len(held[0][0])
                 if total > 1_000_000:
-                    yield emit(h, c)
-                    held, sizes, total = [], [], 0
+                    yield emit(*held[0])
+                    held, total = [], 0
     if held:
         yield emit(*merged())
 
@@ -80,22 +104,28 @@ def least_count(words: DataFrame, most: int = TOP_WORDS) -> int:
 
 
 def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The bounded part that tasks hold, and the table (word, c) of all words."""
-    words = staged(train.select("text").mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    """The bounded part that tasks hold, and the table (word, cls, c) of all words."""
+    words = train.select("text").mapInArrow(count_words, "word long, cls long, c long").groupBy("word").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
+    words = staged(words, "lm-words")
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = least_count(words)
     top = words.where(F.col("c") >= least).toArrow()  # at most TOP_WORDS rows
-    hashes, counts = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.int64)
+    hashes, counts, kinds = (top.column(c).to_numpy().astype(np.int64) for c in ("word", "c", "cls"))
+    hashes = hashes.view(np.uint64)
     order = np.lexsort((hashes, -counts))
-    hashes, counts = hashes[order], counts[order]
-    ids = np.full(len(hashes), OTHER)
-    ids[: OUTPUTS - 2] = np.arange(2, 2 + len(ids[: OUTPUTS - 2]))
-    listed = counts[: OUTPUTS - 2]
-    mass = np.concatenate(([ends], [n - listed.sum()], listed)) + 0.5
+    hashes, counts, kinds = hashes[order], counts[order], kinds[order]
+    listed = min(LISTED, len(hashes))
+    ids = np.full(len(hashes), -1)
+    ids[:listed] = np.arange(1, 1 + listed)
+    whole = words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()  # at most CLASSES rows
+    size, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    size[whole.column("cls").to_numpy()], types[whole.column("cls").to_numpy()] = whole.column("c").to_numpy(), whole.column("n").to_numpy()
+    size -= np.bincount(kinds[:listed], weights=counts[:listed], minlength=CLASSES)
+    types -= np.bincount(kinds[:listed], minlength=CLASSES)
+    mass = np.concatenate(([ends], counts[:listed], size)) + 0.5
     order = np.argsort(hashes)
-    rare = (n - listed.sum()) + (v - len(listed)) + 1
-    return Vocabulary(hashes[order], counts[order], ids[order], mass / mass.sum(), n + ends, v + (ends > 0), ends, float(rare)), words
+    return Vocabulary(hashes[order], counts[order], ids[order], listed, mass / mass.sum(), size + types + 1, n + ends, v + (ends > 0), ends), words
 
 
 @dataclass
@@ -139,7 +169,10 @@ def token_rows(words: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     last = np.cumsum(words.count + 1) - 1
     place[last] = False
     out = np.full(total, END)
-    out[place] = np.where(known, vocab.ids[at] if len(vocab.ids) else OTHER, OTHER)
+    own = 1 + vocab.listed + classes_of(words)
+    if len(vocab.ids):
+        own = np.where(known & (vocab.ids[at] >= 0), vocab.ids[at], own)
+    out[place] = own
     index = np.full(total, -1)
     index[place] = np.where(known, at, len(vocab.hashes))
     one, two = np.full(total, END), np.full(total, END)
@@ -157,29 +190,28 @@ def descend(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, flat: np.ndarr
     rng = np.random.Generator(np.random.PCG64(13))
     log_noise, cdf = np.log(NOISE * vocab.unigram), np.cumsum(vocab.unigram)
     squares = [np.full(x.shape, 1e-2) for x in (p.context, p.target, p.c1, p.c2, p.bias)]
-    total, rate = 0, 0.05
+    total = 0
     summed = lambda index, g: np.stack([np.bincount(index, weights=g[:, j], minlength=outputs) for j in range(DIM)], axis=1)
+    chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def step(w, w1, w2):
-        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), outputs - 1)
+        """Tokens w, in whole blocks or less than one: each block has its own noise."""
+        n, wide = len(w), min(BLOCK, len(w))
+        noise = np.minimum(np.searchsorted(cdf, rng.random((n // wide, NOISE))), outputs - 1)
         r1, r2 = p.context[w1], p.context[w2]
         q = r1 * p.c1 + r2 * p.c2
-        tq, tn = p.target[w], p.target[noise]
-        hit = np.einsum("ij,ij->i", q, tq) + p.bias[w] - log_noise[w]
-        miss = q @ tn.T + p.bias[noise] - log_noise[noise]
-        e = 1 / (1 + np.exp(-np.clip(hit, -30, 30))) - 1
-        f = 1 / (1 + np.exp(-np.clip(miss, -30, 30)))
-        n = len(w)
-        dq = (e[:, None] * tq + f @ tn) / n
-        target = summed(w, e[:, None] * q / n)
-        np.add.at(target, noise, f.T @ q / n)
-        bias = np.bincount(w, weights=e / n, minlength=outputs)
-        np.add.at(bias, noise, f.sum(axis=0) / n)
-        context = summed(w1, dq * p.c1) + summed(w2, dq * p.c2)
+        tq, tn, blocks = p.target[w], p.target[noise], q.reshape(-1, wide, DIM)
+        e = chance(np.einsum("ij,ij->i", q, tq) + p.bias[w] - log_noise[w]) - 1
+        f = chance(blocks @ tn.transpose(0, 2, 1) + (p.bias[noise] - log_noise[noise])[:, None, :])
+        dq = (e[:, None] * tq + (f @ tn).reshape(n, DIM)) / n
+        both = np.concatenate((w, noise.ravel()))
+        target = summed(both, np.concatenate((e[:, None] * q, (f.transpose(0, 2, 1) @ blocks).reshape(-1, DIM))) / n)
+        bias = np.bincount(both, weights=np.concatenate((e, f.sum(axis=1).ravel())) / n, minlength=outputs)
+        context = summed(np.concatenate((w1, w2)), np.concatenate((dq * p.c1, dq * p.c2)))
         for x, g, s in zip((p.context, p.target, p.c1, p.c2, p.bias), (context, target, (dq * r1).sum(axis=0), (dq * r2).sum(axis=0), bias), squares):
             g = g * outputs
             s += g * g
-            x -= rate * g / np.sqrt(s)
+            x -= RATE * g / np.sqrt(s)
 
     for batch in batches:
         for _, data, ends in slices(batch, "text"):
@@ -187,7 +219,10 @@ def descend(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, flat: np.ndarr
             order = rng.permutation(len(out))
             for a in range(0, len(out), BATCH):
                 i = order[a : a + BATCH]
-                step(out[i], one[i], two[i])
+                cut = len(i) // BLOCK * BLOCK
+                for j in (i[:cut], i[cut:]):
+                    if len(j):
+                        step(out[j], one[j], two[j])
             total += len(out)
     if total:
         value = p.flat() * total
@@ -196,9 +231,8 @@ def descend(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, flat: np.ndarr
 
 def fit(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Parameters:
     flat = Parameters.start(vocab.unigram).flat()
-    for r in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(rounds)) == r).select("text")
-        means = part.mapInArrow(lambda it, flat=flat: descend(it, vocab, flat), "place long, value double, weight double")
+    for _ in range(rounds):
+        means = train.select("text").coalesce(MAX_TRAINERS).mapInArrow(lambda it, flat=flat: descend(it, vocab, flat), "place long, value double, weight double")
         found = means.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         flat = flat.copy()
         flat[found.column("place").to_numpy()] = found.column("value").to_numpy()
@@ -209,14 +243,15 @@ def score_texts(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, tables: tu
     """A line for each text (word null) and one for each of its words beyond the top (times in n_tokens)."""
     a1, a2, z = tables
     base_all = np.log10(np.concatenate((vocab.counts, [vocab.ends])) + 1.0) - np.log10(vocab.tokens + vocab.types + 1.0)
-    inner = np.where(vocab.ids == OTHER, np.log10(vocab.counts + 1.0) - np.log10(vocab.rare_mass), 0.0)
+    inner = np.where(vocab.ids < 0, np.log10(vocab.counts + 1.0), 0.0)
+    share = np.concatenate((np.zeros(1 + vocab.listed), np.log10(vocab.mass)))
     next_row = TaskContext.get().partitionId() << 40
     for batch in batches:
         for rows, data, ends in slices(batch, "text"):
             words = Words(data, ends)
             out, one, two, index = token_rows(words, vocab)
             text = np.repeat(np.arange(len(words.count)), words.count + 1)
-            model = (a1[one, out].astype(np.float64) + a2[two, out] - z[one, two]) / np.log(10)
+            model = (a1[one, out].astype(np.float64) + a2[two, out] - z[one, two]) / np.log(10) - share[out]
             known = (index >= 0) & (index < len(vocab.hashes))
             end = index < 0
             model[known] += inner[index[known]]
@@ -257,12 +292,12 @@ def scored(docs: DataFrame, vocab: Vocabulary, words: DataFrame, model: Paramete
         lambda it: score_texts(it, vocab, tables.value), "row long, doc_id long, word long, n_tokens long, n_known long, base_score double, score double"
     )
     lines = staged(lines, "lm-lines")
-    rare = lines.where("word IS NOT NULL").select("row", "word", F.col("n_tokens").alias("times")).join(words, "word", "left")
-    log = lambda total: F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.log10(F.lit(float(total)))
+    rare = lines.where("word IS NOT NULL").select("row", "word", F.col("n_tokens").alias("times")).join(words.select("word", "c"), "word", "left")
+    seen = F.log10(F.coalesce("c", F.lit(0)) + 1.0)
     sums = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * log(vocab.tokens + vocab.types + 1)).alias("more_base"),
-        F.sum(F.col("times") * log(vocab.rare_mass)).alias("more_score"),
+        F.sum(F.col("times") * (seen - F.lit(math.log10(vocab.tokens + vocab.types + 1)))).alias("more_base"),
+        F.sum(F.col("times") * seen).alias("more_score"),
     )
     own = lines.where("word IS NULL").drop("word").join(sums, "row", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
@@ -273,8 +308,9 @@ def language_scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
     Documents with crc32(doc_id as text) mod folds = out are held out; null ids are trained on. Null texts are
-    empty: one end mark. Equal rows get equal scores. Without training rows every probability is that of the
-    add-one model over no tokens.
+    empty: one end mark. Equal rows get equal scores; a text of any length is scored whole; other columns of docs,
+    whatever their names, take no part. Without training rows every probability is that of the untrained model over
+    no tokens; an empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     train = docs.where(~held).select("doc_id", "text")

@@ -73,17 +73,45 @@ def test_lm_base_scores_equal_brute_force(spark):
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    train = table(spark, SF, "documents").select("doc_id", "text")
+def test_lm_scores_equal_a_plain_softmax(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    train = docs.where("doc_id % 2 = 0")
     vocab, words = neural_lm.vocabulary(train)
     p = neural_lm.fit(train, vocab)
-    a1, a2, z = p.tables()
-    for one, two in ((0, 0), (5, 9), (neural_lm.OTHER, 2)):
-        total = np.exp(a1[one].astype(float) + a2[two] - z[one, two]).sum()
-        assert total == pytest.approx(1, abs=1e-3)
-    rare = words.count() - (len(vocab.unigram) - 2)
-    listed = vocab.counts[vocab.ids != neural_lm.OTHER].sum()
-    assert vocab.rare_mass == (words.agg(F.sum("c")).first()[0] - listed) + rare + 1
+    assert len(vocab.unigram) == len(p.bias) == 1 + vocab.listed + neural_lm.CLASSES
+    texts = {r["doc_id"]: space_words(ascii_lower(r["text"])) for r in docs.collect()}
+    counts = Counter(w for i, t in texts.items() if i % 2 == 0 for w in t)
+    every = sorted(set(w for t in texts.values() for w in t))
+    data = " ".join(every).encode()
+    read = neural_lm.Words(np.frombuffer(data, np.uint8), np.array([len(data)]))
+    hashed, cls = dict(zip(every, read.hash.tolist())), dict(zip(every, neural_lm.classes_of(read).tolist()))
+    assert all(cls[a] == cls[b] for a, b in zip(every, every[1:]) if a.encode()[-3:] == b.encode()[-3:])
+    listed = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[: neural_lm.LISTED]
+    number = {w: i + 1 for i, w in enumerate(listed)}
+    mass = Counter({k: 1 for k in range(neural_lm.CLASSES)})
+    for w, c in counts.items():
+        if w not in number:
+            mass[cls[w]] += c + 1
+    assert [mass[k] for k in range(neural_lm.CLASSES)] == vocab.mass.tolist()
+    got = {r["doc_id"]: r["score"] for r in neural_lm.scored(docs.where("doc_id < 12"), vocab, words, p).collect()}
+    for i, score in got.items():
+        one = two = 0
+        total = 0.0
+        for w in [*texts[i], None]:
+            out = 0 if w is None else number.get(w, 1 + vocab.listed + cls[w])
+            q = p.context[one] * p.c1 + p.context[two] * p.c2
+            logits = p.target @ q + p.bias
+            total += (logits[out] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if w is not None and w not in number:
+                total += math.log10((counts[w] + 1) / mass[cls[w]])
+            one, two = out, one
+        assert score == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_learns(spark):
+    rows = [r for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.2 * tokens
 
 
 def test_lm_on_awkward_rows(spark):
