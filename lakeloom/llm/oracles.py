@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import MAX_RATIO, ROUNDS, SEED, TEMPER
-from .quality import FENCE, METRICS, MIN_GROUP
+from .quality import LEVELS, METRICS, MIN_GROUP
 
 SPACE = r"[^\x20\x09-\x0D]+"
 BENCH = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,13 +25,15 @@ def quality_sql() -> str:
     ratio = lambda a, b: f"(1000 * {a}) // greatest({b}, 1)"
     values = {"symbols": ratio("n_symbols", "word_chars"), "repeats": ratio("n_repeat_words", "n_words"), "dup_lines": ratio("n_dup_lines", "n_lines"), "word_length": ratio("word_chars", "n_words")}
     union = " UNION ALL ".join(f"SELECT la, so, '{m}' AS metric, {v} AS x FROM c WHERE NOT base_failed" for m, v in values.items())
-    quartile = lambda by: f"SELECT {by}metric, max(total) AS total, min(bucket) FILTER (4 * cum >= total) AS q1, min(bucket) FILTER (4 * cum >= 3 * total) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"
-    pick = lambda q: f"CASE WHEN a.total >= {MIN_GROUP} THEN a.{q} WHEN b.total >= {MIN_GROUP} THEN b.{q} ELSE e.{q} END AS {q}"
+    bucket = lambda x: f"(({x}) >> greatest(length(bin({x})) - 8, 0)) << greatest(length(bin({x})) - 8, 0)"
+    at = ", ".join(f"min(bucket) FILTER (100 * cum >= {p} * total) AS q{p}" for p in LEVELS)
+    levels = lambda by: f"SELECT {by}metric, max(total) AS total, {at} FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"
+    picked = ", ".join(f"CASE WHEN a.total >= {MIN_GROUP} THEN a.q{p} WHEN b.total >= {MIN_GROUP} THEN b.q{p} ELSE e.q{p} END AS q{p}" for p in LEVELS)
     inside = []
-    for m, (slack, low) in METRICS.items():
-        inside.append(f"coalesce({values[m]} <= (SELECT q3 + {FENCE} * (q3 - q1) + {slack} FROM f WHERE f.la = c.la AND f.so = c.so AND metric = '{m}'), true)")
-        if low:
-            inside.append(f"coalesce({values[m]} >= (SELECT q1 - {FENCE} * (q3 - q1) - {slack} FROM f WHERE f.la = c.la AND f.so = c.so AND metric = '{m}'), true)")
+    for m, (high, low, reach) in METRICS.items():
+        for p, sign in ((high, "<="), (low, ">=")):
+            if p is not None:
+                inside.append(f"coalesce({bucket(values[m])} {sign} (SELECT q{p} + {reach} * (q{p} - q50) FROM f WHERE f.la = c.la AND f.so = c.so AND metric = '{m}'), true)")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS la, coalesce('=' || source, 'null') AS so, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{SPACE}')) AS ls FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM d, unnest(range(1, len(w) - 1)) u(i)),
@@ -39,8 +41,8 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT *, cou
 c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
   SELECT doc_id, la, so, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
    CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))),
-sk AS (SELECT la, so, metric, (x >> greatest(length(bin(x)) - 8, 0)) << greatest(length(bin(x)) - 8, 0) AS bucket, count(*) AS n FROM ({union}) GROUP BY ALL),
-f AS (SELECT k.la, k.so, k.metric, {pick('q1')}, {pick('q3')} FROM (SELECT DISTINCT la, so, metric FROM sk) k JOIN ({quartile('la, so, ')}) a USING (la, so, metric) JOIN ({quartile('la, ')}) b USING (la, metric) JOIN ({quartile('')}) e USING (metric))
+sk AS (SELECT la, so, metric, {bucket('x')} AS bucket, count(*) AS n FROM ({union}) GROUP BY ALL),
+f AS (SELECT k.la, k.so, k.metric, {picked} FROM (SELECT DISTINCT la, so, metric FROM sk) k JOIN ({levels('la, so, ')}) a USING (la, so, metric) JOIN ({levels('la, ')}) b USING (la, metric) JOIN ({levels('')}) e USING (metric))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(inside)} AS kept FROM c"""
 
 

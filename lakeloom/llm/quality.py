@@ -2,7 +2,8 @@
 
 A document is described by whole numbers (counts, and ratios in thousandths). The sketch of a group is a
 histogram over fixed buckets: exact below 256, and above that 128 buckets for each power of two (relative error
-under 1 %). Sketches merge by adding counts, in any order, so results do not depend on how rows were dealt.
+under 1 %). Sketches merge by adding counts, in any order, so results do not depend on how rows were dealt. A group's
+thresholds are quantiles of its sketch, carried on by tail distances of the same sketch.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql.window import Window
 
 from .common import broadcast_within, staged, words_of
 
-#: metric -> (slack added to the upper fence, whether there is a lower fence as well)
-METRICS = {"symbols": (30, False), "repeats": (300, False), "dup_lines": (500, False), "word_length": (1500, True)}
-FENCE = 3
-MIN_GROUP = 50
+#: metric -> (percentile of the upper fence, that of the lower one or None, reach). A fence lies beyond its percentile by
+#: `reach` times the distance from there to the group's median; nothing else is added.
+METRICS = {"symbols": (90, None, 1), "repeats": (99, None, 1), "dup_lines": (99, None, 1), "word_length": (90, 10, 4)}
+LEVELS = (10, 50, 90, 99)
+#: Smaller groups have too few documents beyond the 99th percentile.
+MIN_GROUP = 200
 MAX_BROADCAST_GROUPS = 100_000
 
 
@@ -86,13 +89,13 @@ def sketches(counts: DataFrame) -> DataFrame:
     return exploded.groupBy("__lang", "__source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merge sketches within `by`; rows (by, metric, total, q1, q3)."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Merge sketches within `by`; rows (by, metric, total, and q10 to q99 of LEVELS)."""
     keys = [*by, "metric"]
     merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
     merged = merged.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    at = lambda quarters: F.min(F.when(4 * F.col("cum") >= quarters * F.col("total"), F.col("bucket")))
-    return merged.groupBy(*keys).agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda p: F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("bucket"))).alias(f"q{p}")
+    return merged.groupBy(*keys).agg(F.max("total").alias("total"), *map(at, LEVELS))
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -101,25 +104,27 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     A group of fewer than min_group documents takes its language's sketch; a language of fewer, that of all.
     """
     groups = sketch.select("__lang", "__source", "metric").distinct()
-    own, lang, everything = (quartiles(sketch, by) for by in (["__lang", "__source"], ["__lang"], []))
-    name = lambda df, tag: df.select(*[c for c in df.columns if c.startswith("__") or c == "metric"], *[F.col(c).alias(f"{tag}_{c}") for c in ("total", "q1", "q3")])
+    own, lang, everything = (quantiles(sketch, by) for by in (["__lang", "__source"], ["__lang"], []))
+    named = ("total", *(f"q{p}" for p in LEVELS))
+    name = lambda df, tag: df.select(*[c for c in df.columns if c.startswith("__") or c == "metric"], *[F.col(c).alias(f"{tag}_{c}") for c in named])
     joined = groups.join(name(own, "a"), ["__lang", "__source", "metric"]).join(name(lang, "b"), ["__lang", "metric"]).join(F.broadcast(name(everything, "c")), "metric")
     pick = lambda q: F.when(F.col("a_total") >= min_group, F.col(f"a_{q}")).when(F.col("b_total") >= min_group, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    joined = joined.withColumn("q1", pick("q1")).withColumn("q3", pick("q3"))
+    joined = joined.withColumns({q: pick(q) for q in named[1:]})
     out = []
-    for m, (slack, low) in METRICS.items():
-        own_metric = F.col("metric") == m
-        out.append(F.max(F.when(own_metric, F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack)).alias(f"high_{m}"))
-        if low:
-            out.append(F.min(F.when(own_metric, F.col("q1") - FENCE * (F.col("q3") - F.col("q1")) - slack)).alias(f"low_{m}"))
+    for m, (high, low, reach) in METRICS.items():
+        fence = lambda p: F.max(F.when(F.col("metric") == m, F.col(f"q{p}") + reach * (F.col(f"q{p}") - F.col("q50"))))  # noqa: E731, B023
+        out.append(fence(high).alias(f"high_{m}"))
+        if low is not None:
+            out.append(fence(low).alias(f"low_{m}"))
     return joined.groupBy("__lang", "__source").agg(*out)
 
 
 def quality_verdicts(docs: DataFrame, carry: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """For each row of docs (text, lang, source): carry, the counts, base_failed and kept.
 
-    A row is kept if it passes the base rules and every metric lies within its group's fences. Null texts count
-    as empty and fail; null languages and sources are groups of their own; equal rows get equal verdicts.
+    A row is kept if it passes the base rules and the bucket of every metric lies within its group's fences. Null texts count
+    as empty and fail; null languages and sources are groups of their own; equal rows get equal verdicts; texts of any
+    length are counted whole; other columns may have any names; an empty table gives no rows.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     own = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").alias("text"), key("lang").alias("__lang"), key("source").alias("__source"))
@@ -129,9 +134,9 @@ def quality_verdicts(docs: DataFrame, carry: list[str], min_group: int = MIN_GRO
     joined = counts.join(broadcast_within(fences, MAX_BROADCAST_GROUPS), ["__lang", "__source"], "left")
     inside = F.lit(True)
     for m, v in metric_values().items():
-        inside &= F.coalesce(v <= F.col(f"high_{m}"), F.lit(True))
-        if METRICS[m][1]:
-            inside &= F.coalesce(v >= F.col(f"low_{m}"), F.lit(True))
+        inside &= F.coalesce(bucket_of(v) <= F.col(f"high_{m}"), F.lit(True))
+        if METRICS[m][1] is not None:
+            inside &= F.coalesce(bucket_of(v) >= F.col(f"low_{m}"), F.lit(True))
     return joined.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

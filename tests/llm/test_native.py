@@ -44,10 +44,30 @@ def test_thresholds_adapt_to_groups(spark):
     """Where symbols are common they are tolerated; where they are rare the same text goes."""
     text = lambda i, k: " ".join(f"w{i}x{j}" + ("#" if j % k == 0 else "") for j in range(80))
     rows = [(i, text(i, 2), "en", "code") for i in range(60)] + [(100 + i, text(i, 1000), "en", "prose") for i in range(60)] + [(999, text(999, 2), "en", "prose")]
-    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"], min_group=50).collect()}
     assert all(got[i] for i in range(60)) and all(got[100 + i] for i in range(60)) and not got[999]
 
 
+def test_quantiles_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(f"={la}", "=s", "symbols", rng.randrange(200), 1 + rng.randrange(3)) for la in "ab" for _ in range(150)]
+    got = quality.quantiles(spark.createDataFrame(rows, "__lang string, __source string, metric string, bucket long, n long"), ["__lang"]).collect()
+    assert len(got) == 2
+    for r in got:
+        values = sorted(b for la, _, _, b, n in rows if la == r["__lang"] for _ in range(n))
+        for p in quality.LEVELS:
+            assert r[f"q{p}"] == values[-(-p * len(values) // 100) - 1]
+
+
+def test_fences_part_junk_from_clean_documents(spark):
+    """By the labels, which no threshold sees; documents that fail the base rules are left out."""
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    rows = QUERIES["op3_quality_rules"](spark, sf).where("NOT base_failed").join(labels, "doc_id").collect()
+    junk, clean = [r["kept"] for r in rows if not r["quality"]], [r["kept"] for r in rows if r["quality"]]
+    assert sum(junk) / len(junk) < 0.1 and sum(clean) / len(clean) > 0.98
+
+
 def test_sketch_buckets(spark):
     rng = random.Random(1)
     values = [rng.randrange(10 ** rng.randrange(1, 9)) for _ in range(300)]
