@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,7 +29,7 @@ def test_toxicity_on_held_out_rows(spark):
     held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     toxic, clean = [s for s, y in held if y], [s for s, y in held if not y]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.9
-    assert np.mean([s >= 0.5 for s in clean]) < 0.05
+    assert np.mean([s >= 0.5 for s in clean]) < 0.05 and np.mean([s >= 0.5 for s in toxic]) > 0.6
 
 
 def test_toxicity_on_awkward_rows(spark):
@@ -52,6 +53,32 @@ def test_toxicity_buckets_follow_characters():
 
     assert set(of("Straße IDIOT")) == set(of("straße idiot")) and len(of("été")) == 1 and len(of("")) == 0
     assert set(of("abcdef")) < set(of("xx abcdef yy"))
+    rng = random.Random(2)
+    for _ in range(50):
+        text = "".join(rng.choice("abcé ß\n") for _ in range(rng.randrange(60)))
+        plain = text.replace("\n", " ")
+        assert len(of(text)) == len(set(of(text))) == len({plain[i : i + n] for n in toxicity.ORDERS for i in range(len(plain) - n + 1)})
+
+
+def test_toxicity_fit_equals_plain_descent():
+    """Sums, loss and weights of the sparse fit against dense matrices."""
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 12)) < 0.3
+    x[5] = False
+    y = (x[:, 0] | (rng.random(60) < 0.1)).astype(float)
+    index, size, scale = np.nonzero(x)[1], x.sum(axis=1), rng.normal(0, 1, 12)
+    assert toxicity.sums(index, size, scale) == pytest.approx(x @ scale)
+    w, bias = toxicity.fit_logistic(y, index, size, scale, 0.1, steps=3000)
+    dense, b = np.zeros(12), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(b + (x * scale) @ dense))) - y) / 60
+        dense, b = dense - 0.3 * ((x * scale).T @ error + 0.1 * dense), b - 0.3 * error.sum()
+    assert w == pytest.approx(dense * scale, abs=0.01) and bias == pytest.approx(b, abs=0.01)
+    z = rng.normal(0, 1, 400)
+    t = (rng.random(400) < 1 / (1 + np.exp(-(3 * z - 1)))).astype(float)
+    a, b, loss = toxicity.calibrate(z, t)
+    losses = [-np.mean(np.where(t > 0, np.log(p), np.log1p(-p))) for p in (1 / (1 + np.exp(-(i * z + j))) for i in np.arange(1, 6, 0.05) for j in np.arange(-3, 2, 0.05))]
+    assert loss == pytest.approx(min(losses), abs=1e-3) and 2 < a < 4.5 and -2 < b < 0
 
 
 def test_lm_base_scores_equal_brute_force(spark):
