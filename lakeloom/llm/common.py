@@ -41,7 +41,17 @@ def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made from them has been staged itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        at = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_within, staged
+from .common import broadcast_within, discard, staged
 from .textvec import Words, mix64, runs_of, slices
 
 SKETCH_WORDS = 16
@@ -123,11 +123,15 @@ def features(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
 
 
 def token_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, hi, text) those whose set is the node's, told by the sum of its tokens' hashes."""
     for batch in batches:
         for rows, data, ends in slices(batch, "text"):
             tokens, n = distinct_sets(Words(data, ends), k)
+            hi = np.zeros(len(n), np.uint64)
+            np.add.at(hi, np.repeat(np.arange(len(n)), n), mix64(tokens, 11))
             starts = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens.view(np.int64)))], names=["key", "tokens"])
+            out = pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens.view(np.int64)))], names=["key", "tokens"])
+            yield out.filter(pa.array(rows.column(1).to_numpy().view(np.uint64) == hi))
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +207,16 @@ def components(links: DataFrame) -> DataFrame:
     rows = 2 * links.count()
     ways = staged(links.select("x", "y").union(links.select("y", "x")).distinct(), "ways", rows)
     labels = staged(ways.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("comp")).withColumnRenamed("x", "key"), "labels", rows)
+    before = labels
     while True:
         near = ways.join(labels, ways.y == labels.key).groupBy("x").agg(F.min("comp").alias("near"))
         moved = labels.join(near, labels.key == near.x).select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("via"))
         ahead = labels.select(F.col("key").alias("via"), F.col("comp").alias("ahead"))
         moved = staged(moved.join(ahead, "via").select("key", "old", F.least("via", "ahead").alias("comp")), "labels", rows)
-        labels = moved.select("key", "comp")
+        discard(before)
+        labels, before = moved.select("key", "comp"), moved
         if moved.where("comp != old").limit(1).count() == 0:
+            discard(ways)
             return labels
 
 
@@ -218,14 +225,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
 
     Words are ASCII-lower-cased runs without white space; a set holds the distinct k-word shingles (a shorter
     text is one shingle; no words, no set). Sets link at Jaccard similarity num/den or more; component_id is the
-    least key that is reachable. Rows of equal text are one node; null keys take no part and get themselves;
-    sets are compared by 64-bit shingle hashes.
+    least key that is reachable. Every distinct set is a node of its own, whatever keys its rows have: rows of equal
+    sets are linked, rows that share a key but not a set are not; null keys take no part and get null. Sets are
+    compared by 64-bit shingle hashes. Texts of any length count whole; other columns, whatever their names, take
+    no part; an empty table gives no rows.
     """
     read = docs.select(F.col(key).cast("long").alias("key"), F.col("text"))
     table = staged(read.mapInArrow(lambda it: features(it, k, num, den), FEATURES), "parity-features")
-    sets = table.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
-    sets = staged(sets, "parity-sets", table.count())
-    reps = table.where("n > 0").join(sets.select(F.col("rep").alias("key"), "hi", "lo", "n"), ["key", "hi", "lo", "n"], "left_semi")
+    rows_read = table.count()
+    narrow = staged(table.select("key", "n", "hi", "lo"), "parity-rows", rows_read)
+    sets = narrow.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    sets = staged(sets, "parity-sets", rows_read)
+    own = sets.select(F.col("rep").alias("key"), "hi", "lo", "n", "node")
+    reps = table.where("n > 0").join(own, ["key", "hi", "lo", "n"]).select(F.col("node").alias("key"), "n", "sketch", "keys")
     some = reps.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("bucket"))
     hot = staged(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT), "parity-hot")
     salt = F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("key", F.lit(4)), F.lit(SALTS))).cast("int")
@@ -237,6 +249,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     centres = centres.join(centres.groupBy("bucket").agg(F.min("y").alias("x")), "bucket").where("x != y").select("x", "y")
     ids = staged(met.select("key").distinct(), "parity-ids", rows)
     sketches = staged(reps.select("key", "n", "sketch").join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi").dropDuplicates(["key"]), "parity-sketches", 4 * ids.count())
+    discard(table, hot, ids)
 
     pairs = met.where("key != least").select(F.col("least").alias("x"), F.col("key").alias("y")).unionByName(centres).distinct()
     end = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -244,32 +257,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     far = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     least = F.ceil(num * both / (num + den))
     likely = pairs.join(end("x"), "x").join(end("y"), "y").where((den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & (far <= both - 2 * least)).select("x", "y")
-    links = verified(staged(likely, "parity-candidates", rows), docs, key, k, num, den)
+    likely = staged(likely, "parity-candidates", rows)
+    links = verified(likely, read, own, k, num, den)
     comps = components(links)
 
     found = met.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     block = F.col("salt").cast("long") * (1 << 32) + (F.col("place") / BLOCK_ROWS).cast("long")
     found = staged(found.select("bucket", "key", "comp", block.alias("block")), "parity-found", rows)
+    discard(met, likely)
     spread = found.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("members"), F.collect_set("block").alias("blocks")).where("a != z AND members > 2")
     dealt = found.join(spread, "bucket").select("bucket", "key", "comp", "block", F.explode("blocks").alias("other"))
     words = [F.get("sketch", F.lit(w)).alias(f"s{w}") for w in range(SKETCH_WORDS)]
     dealt = dealt.join(sketches, "key").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "comp", "n", *words)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     across = staged(dealt.mapInArrow(lambda it: crossing(it, num, den), "x long, y long").distinct(), "parity-crossing", rows)
-    more = verified(across, docs, key, k, num, den)
+    more = verified(across, read, own, k, num, den)
     if more.limit(1).count():
         comps = components(links.unionByName(more))
+    discard(found, sketches, across)
 
-    named = table.select("key", "n", "hi", "lo").join(sets, ["hi", "lo", "n"], "left").join(comps.withColumnRenamed("key", "rep"), "rep", "left")
-    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("comp", "rep", "key")).alias("component_id"))
+    linked = sets.select(F.col("node").alias("key"), "hi", "lo", "n", "rep").join(comps, "key")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    labels = linked.join(least, "comp").select("hi", "lo", "n", "component_id")
+    labels = sets.join(labels, ["hi", "lo", "n"], "left").select("hi", "lo", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    worded = narrow.where("n > 0").join(labels, ["hi", "lo", "n"], "left").select("key", "n", "component_id")
+    named = worded.unionByName(narrow.where("n = 0").select("key", "n", F.lit(None).cast("long").alias("component_id")))
+    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (x, y) whose sets have Jaccard similarity num/den or more."""
+def verified(pairs: DataFrame, read: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (x, y) of nodes whose sets have Jaccard similarity num/den or more.
+
+    read: rows (key, text); own: of each node the least key of its rows, by which its text is found again.
+    """
     rows = pairs.count()
-    ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "parity-ids", 2 * rows)
-    read = docs.select(F.col(key).cast("long").alias("key"), F.col("text")).join(broadcast_within(ids, MAX_BROADCAST_IDS), "key", "left_semi")
-    sets = staged(read.mapInArrow(lambda it: token_sets(it, k), "key long, tokens array<long>"), "parity-tokens")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    ids = staged(ids.join(own.select("node", "key", "hi"), "node"), "parity-ids", 2 * rows)
+    texts = read.join(broadcast_within(ids, MAX_BROADCAST_IDS), "key").select("node", "hi", "text")
+    sets = staged(texts.mapInArrow(lambda it: token_sets(it, k), "key long, tokens array<long>"), "parity-tokens")
+    if sets.count() > ids.count():  # repeated rows
+        sets = sets.dropDuplicates(["key"])
     end = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t{c}"))
     shared = F.size(F.array_intersect("tx", "ty"))
     close = den * shared >= num * (F.size("tx") + F.size("ty") - shared)
