@@ -2,7 +2,9 @@
 
 A page becomes a tree of block elements. Each paragraph passes points for its length and commas to its parent,
 half of them to the grandparent and a third to the next; an element's points are discounted by its link
-density. The best element is kept with those of its siblings that score well enough themselves.
+density, and points from within elements whose class or id speaks of menus, adverts and the like count for little.
+The best element is kept with those of its siblings that score well enough themselves. Such names only tell what to
+leave out beside or within the best element, never above it. All passes over elements and blocks are linear.
 """
 
 from __future__ import annotations
@@ -26,32 +28,42 @@ CONTAINER = frozenset("html body article main section div header ul ol dl table
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies respond rss share sharing sidebar skyscraper social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words before a mark with which a class tells of a page's layout, not of its own text.
+LAYOUT = frozenset("has with no without show hide is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 #: An open element of the second kind ends where one of the first kind begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"'/]+)/\Z")
 WORD = re.compile(r"[a-z]+")
+#: What points from within a marked element count: marked by a whole class name or id, or by a word of a longer one.
+WHOLE, PART = 0.1, 0.3
 
 
 class Page:
-    """Elements (parent, name, dropped) and blocks of text (element, text, characters within links)."""
+    """Elements (parent, name, left out whatever its score, weight of its mark) and blocks of text (element, text, characters within links)."""
 
     def __init__(self, source: str):
-        self.parent, self.name, self.dropped = [-1], ["html"], [False]
+        self.parent, self.name, self.gone, self.weight, self.article = [-1], ["html"], [False], [1.0], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # of each name, where it is on the stack of open elements
         self.parts: list[str] = []
         self.links, self.in_link = 0, False
         self.read(source)
 
+    def cut(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.places[self.name[e]].pop()
+        del self.open[at:]
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
-            if text and not self.dropped[self.open[-1]]:
+            if text and not self.gone[self.open[-1]]:
                 self.blocks.append((self.open[-1], text, min(self.links, len(text))))
         self.parts, self.links = [], 0
 
@@ -102,85 +114,89 @@ class Page:
         elif name in PARAGRAPH or name in CONTAINER or name in BOILERPLATE:
             self.flush()
             if name in CLOSES:
-                self.close_within(CLOSES[name], STOPS[name])
+                last = lambda names: max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+                if (at := last(CLOSES[name])) > last(STOPS[name]):
+                    self.cut(at)
             if self.name[self.open[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self.open.pop()
-            if name in ("html", "body") and len(self.open) > 1 and name != "body":
+                self.cut(len(self.open) - 1)
+            if name == "html" and len(self.open) > 1:
                 return
-            self.parent.append(self.open[-1])
+            above = self.open[-1]
+            gone, weight = self.judged(name, attributes, self.article[above])
+            self.parent.append(above)
             self.name.append(name)
-            self.dropped.append(self.dropped[self.open[-1]] or name in BOILERPLATE or self.unwanted(name, attributes))
+            self.gone.append(self.gone[above] or gone)
+            self.weight.append(weight)
+            self.article.append(self.article[above] or name in ("article", "main"))
+            self.places.setdefault(name, []).append(len(self.open))
             self.open.append(len(self.parent) - 1)
 
-    def close_within(self, names: set[str], stops: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.name[self.open[i]] in stops:
-                return
-            if self.name[self.open[i]] in names:
-                del self.open[i:]
-                return
-
-    def unwanted(self, name: str, attributes: str) -> bool:
+    def judged(self, name: str, attributes: str, in_article: bool) -> tuple[bool, float]:
+        """Whether an element is left out whatever its score, and the weight that its class and id give it."""
         if name in ("html", "body", "article", "main"):
-            return False
-        if name == "header" and not any(self.name[i] in ("article", "main") for i in self.open):
-            return True
-        if not attributes:
-            return False
+            return False, 1.0
+        if name in BOILERPLATE or (name == "header" and not in_article):
+            return True, 1.0
+        weight = 1.0
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                return True
+                return True, 1.0
             if key == "role" and value in ROLES:
-                return True
-            if key in ("class", "id") and not MARKS.isdisjoint(WORD.findall(value)):
-                return True
-        return False
+                return True, 1.0
+            if key in ("class", "id"):
+                for token in value.split():
+                    words = WORD.findall(token)
+                    if token in MARKS:
+                        weight = min(weight, WHOLE)
+                    elif name in CONTAINER and not LAYOUT.intersection(words) and not MARKS.isdisjoint(words):
+                        weight = min(weight, PART)
+        return False, weight
 
     def end(self, name: str) -> None:
         if name == "a":
             self.in_link = False
         elif name in PARAGRAPH or name in CONTAINER or name in BOILERPLATE:
             self.flush()
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.name[self.open[i]] == name:
-                    del self.open[i:]
-                    break
+            if self.places.get(name):
+                self.cut(self.places[name][-1])
 
     def main(self) -> list[str]:
-        points, size, linked = {}, {}, {}
+        n = len(self.parent)
+        weight, points, size, linked = list(self.weight), [0.0] * n, [0] * n, [0] * n
+        for e in range(1, n):
+            weight[e] *= weight[self.parent[e]]
         for e, text, links in self.blocks:
             up = e if self.name[e] not in PARAGRAPH else self.parent[e]
-            value = 1 + text.count(",") + min(len(text) / 100, 3)
+            value = (1 + text.count(",") + min(len(text) / 100, 3)) * weight[e]
             for share in (1, 2, 3):
                 if up >= 0:
-                    points[up] = points.get(up, 0) + value / share
+                    points[up] += value / share
                     up = self.parent[up]
-            while e >= 0:
-                size[e], linked[e] = size.get(e, 0) + len(text), linked.get(e, 0) + links
-                e = self.parent[e]
-        if not points:
+            size[e] += len(text)
+            linked[e] += links
+        if not self.blocks:
             return []
-        score = {e: p * (1 - linked[e] / max(1, size[e])) for e, p in points.items()}
-        best = max(score, key=lambda e: (score[e], -e))
-        up = best
+        for e in range(n - 1, 0, -1):  # parents come before their children
+            size[self.parent[e]] += size[e]
+            linked[self.parent[e]] += linked[e]
+        plain = [1 - linked[e] / max(1, size[e]) for e in range(n)]
+        score = [points[e] * plain[e] for e in range(n)]
+        best = max((e for e in range(n) if points[e]), key=lambda e: (score[e], -e))
+        up, above = best, set()
         while up > 0:
             if self.name[up] in ("article", "main"):
                 best = up
+            above.add(up)
             up = self.parent[up]
-        keep = {best}
-        for e in size:
-            if e != best and self.parent[e] == self.parent[best]:
-                dense = 1 - linked[e] / max(1, size[e])
-                if score.get(e, 0) >= 0.2 * score.get(best, 0) > 0 or (self.name[e] == "p" and size[e] > 80 and dense > 0.75):
-                    keep.add(e)
-        out = []
-        for e, text, _ in self.blocks:
-            while e >= 0 and e not in keep:
-                e = self.parent[e]
-            if e >= 0:
-                out.append(text)
-        return out
+        kept, left = [False] * n, [False] * n
+        for e in range(n):
+            near = e > 0 and best > 0 and self.parent[e] == self.parent[best] and size[e] > 0
+            kept[e] = e == best or (near and (score[e] >= 0.2 * score[best] > 0 or (self.name[e] == "p" and size[e] > 80 and plain[e] > 0.75)))
+            if e:
+                kept[e] = kept[e] or kept[self.parent[e]]
+                left[e] = left[self.parent[e]] or (self.weight[e] < 1 and e not in above)
+        return [text for e, text, _ in self.blocks if kept[e] and not left[e]]
 
 
 def main_text(source: str | None) -> str:
@@ -191,7 +207,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """For each row of pages (page_id, url, html): page_id, url, text and n_chars.
 
     Null or empty html gives an empty text, as does a page without text outside menus and the like. Equal rows
-    get equal texts; broken markup is read as far as it goes.
+    get equal texts; broken markup is read as far as it goes, and pages of any length and depth in linear time. Other
+    columns, whatever their names, take no part; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

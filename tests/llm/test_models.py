@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,66 @@ def test_main_text():
         main_text.main_text(broken)
 
 
+@pytest.mark.parametrize("mark", ['class="content has-sidebar"', 'id="social-policy"', 'data-id="ad"', 'title="the hidden gem"', "class='x' data-class=menu", 'id=main-comment-free'])
+def test_names_above_the_article_hide_nothing(mark):
+    page = f"<body><nav><p>Menu, menu, menu</p></nav><div {mark}><p>First text, with commas, here.</p><p>Second text, as well, here.</p></div></body>"
+    assert main_text.main_text(page) == "First text, with commas, here.\nSecond text, as well, here."
+    inner = page.replace("<p>Second", '<div class="ad">Buy, buy, buy.</div><div class="post-related"><p>More, more</p></div><p>Second')
+    assert main_text.main_text(inner) == main_text.main_text(page)
+    assert main_text.main_text(f"<body><p {mark}>First text, with commas, here.</p><p>Second text, as well, here.</p></body>") == main_text.main_text(page)
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    n = 100_000
+    assert main_text.main_text("<div>" * n + "text, at last") == "text, at last"
+    assert main_text.main_text("".join(f"<div>x{i}" for i in range(n))).count("x") > 0
+    main_text.main_text("<div>" * n + "<dd>a</dd><li>b</li><td>c</td>" * n)
+    main_text.main_text("<header><p>x</p></header>" * n)
+    assert time.perf_counter() - began < 30
+
+
+def plain_choice(tree):
+    """Blocks kept of a tree of (name, class, children or text), by the definitions, without any care for time."""
+    nodes = []
+
+    def walk(node, parent):
+        nodes.append((node, parent))
+        me = len(nodes) - 1
+        for c in node[2] if isinstance(node[2], list) else []:
+            walk(c, me)
+
+    walk(("html", "", [tree]), -1)
+    chain = lambda e: [e] + chain(nodes[e][1]) if e >= 0 else []
+    whole = lambda e: main_text.WHOLE if nodes[e][0][1] in main_text.MARKS and nodes[e][0][0] != "article" else 1.0
+    blocks = [(e, x[2]) for e, (x, _) in enumerate(nodes) if isinstance(x[2], str)]
+    points = Counter()
+    for e, text in blocks:
+        ups = chain(nodes[e][1] if nodes[e][0][0] == "p" else e)
+        for share, up in zip((1, 2, 3), ups):
+            points[up] += (1 + text.count(",") + min(len(text) / 100, 3)) * math.prod(map(whole, chain(e))) / share
+    best = max(points, key=lambda e: (round(points[e], 9), -e))
+    spared = chain(best)
+    best = ([e for e in spared if nodes[e][0][0] == "article"] or [best])[-1]
+    size = lambda e: sum(len(t) for b, t in blocks if e in chain(b))
+    keep = {best} | {e for e, (x, p) in enumerate(nodes) if p == nodes[best][1] and size(e) and best and (points[e] >= 0.2 * points[best] > 0 or (x[0] == "p" and size(e) > 80))}
+    return [t for e, t in blocks if keep & set(chain(e)) and all(whole(a) == 1 or a in spared for a in chain(e))]
+
+
+def test_scores_equal_plain_ones():
+    rng = random.Random(8)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.35:
+            return ("p", rng.choice(["", "", "", "ad", "lead"]), " ".join(rng.choice(["some", "words,", "of", "text,", "which", "goes", "on"]) for _ in range(rng.randrange(1, 40))))
+        return (rng.choice(["div"] * 6 + ["section", "article"]), rng.choice(["", "", "", "", "sidebar", "comments", "body"]), [grow(depth - 1) for _ in range(rng.randrange(1, 5))])
+
+    show = lambda x: f'<{x[0]} class="{x[1]}">' + (x[2] if isinstance(x[2], str) else "".join(map(show, x[2]))) + f"</{x[0]}>"
+    for _ in range(400):
+        tree = ("body", "", [grow(4) for _ in range(rng.randrange(1, 4))])
+        assert main_text.main_text(show(tree)).split("\n") == (plain_choice(tree) or [""]), show(tree)
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "long, text " * 50_000 + "</p>")], "page_id long, url string, html string")
     rows = main_text.extract_main_text(pages.withColumn("text", F.lit("clash"))).collect()
