@@ -17,6 +17,8 @@ from .common import ROWS_PER_FILE, ascii_lower, broadcast_within, staged, words_
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST_ROWS = 1_000_000
+#: Bits of the filter for each benchmark shingle, and the most there are (1 MB; it travels in every row).
+FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 23
 
 
 def shingle(words: Column, at: Column, k: int) -> Column:
@@ -33,11 +35,30 @@ def shingles(words: Column, sizes: list[int]) -> Column:
     return F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<struct<pos:int,h:bigint>>")
 
 
+def bit_filter(hashes: DataFrame) -> tuple[Column, int]:
+    """One array of 64-bit words in which the bit of every h is set, as a scalar, and its number of bits.
+
+    Equal hashes have equal bits, so a shingle whose bit is not set is not among them; above MAX_FILTER_BITS the array
+    does not grow, and only lets more through.
+    """
+    bits = 1 << 16
+    wanted = FILTER_BITS * hashes.count()
+    while bits < min(wanted, MAX_FILTER_BITS):
+        bits *= 2
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    word = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
+    whole = hashes.sparkSession.range(bits >> 6).select(F.col("id").alias("at")).join(word, "at", "left")
+    held = F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))
+    return staged(whole.agg(F.transform(held, lambda x: x["word"]).alias("words")), "bench-filter").scalar(), bits
+
+
 def hit_summary(docs: DataFrame, items: DataFrame, carry: list[str], window: int = 10, k: int = 5) -> DataFrame:
     """For each row of docs (text): carry, n_words, n_hit, n_items, items_sha256 and contaminated.
 
     items has item_id and text. Null texts have no words; items without words have no windows; equal rows get
-    equal results; items of equal text all count. Without items nothing is hit.
+    equal results; items of equal text all count, and those of null id hit words but are not listed. Without items
+    nothing is hit; an empty table gives no rows; texts of any length are read whole. Only carry and text of docs are
+    used, so other columns may have any names.
     """
     item_words = items.select("item_id", words_of(ascii_lower(F.col("text")), WORDS).alias("words")).where(F.size("words") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0))), lambda i: F.slice("words", i + 1, window))
@@ -52,19 +73,20 @@ def hit_summary(docs: DataFrame, items: DataFrame, carry: list[str], window: int
         parts = own if parts is None else parts.unionByName(own)
     parts = staged(parts if parts is not None else windows.select("wid", F.lit(0).alias("len"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")), "bench-shingles", some)
 
-    wanted = broadcast_within(parts.select("h", F.lit(True).alias("found")).distinct(), MAX_BROADCAST_ROWS)
+    hashes = staged(parts.select("h").distinct(), "bench-hashes", some * window)
+    filtered, bits = bit_filter(hashes)
+    own_bit = lambda h: F.call_function("getbit", F.get("__bits", F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
     named = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
-    worded = docs.select(*named, F.xxhash64(*carry, "text").alias("key"), words_of(ascii_lower(F.col("text")), WORDS).alias("words"))
-    rows = worded.select(*[f"__c{i}" for i in range(len(carry))], "key", F.size("words").alias("n"), F.inline_outer(shingles(F.col("words"), sizes)))
-    kept = rows.join(wanted, "h", "left").where(F.col("found") | F.col("pos").isNull() | (F.col("pos") == 0))
+    worded = docs.select(*named, F.xxhash64(*carry, "text").alias("key"), words_of(ascii_lower(F.col("text")), WORDS).alias("words"), filtered.alias("__bits"))
+    # a line of its own for each row of docs, at position -1, and one for each shingle that the filter lets through
+    first = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h")))
+    found = F.concat(first, F.filter(shingles(F.col("words"), sizes), lambda x: own_bit(x["h"])))
+    carried = [f"__c{i}" for i in range(len(carry))]
+    rows = worded.select(*carried, "key", F.size("words").alias("n"), F.inline(found))
+    kept = rows.join(broadcast_within(hashes.withColumn("found", F.lit(True)), MAX_BROADCAST_ROWS), "h", "left").where("found OR pos = -1")
     kept = staged(kept, "bench-matches")
     matches = kept.where("found").select("key", "n", "pos", "h").distinct()
-    # A row of docs is its line at position 0 (or without position) for the smallest shingle size.
-    documents = kept.where(F.col("pos").isNull() | (F.col("pos") == 0)).select(*[f"__c{i}" for i in range(len(carry))], "key", "n")
-    if len(sizes) > 1:
-        documents = kept.where(F.col("pos").isNull() | (F.col("pos") == 0)).groupBy(*[f"__c{i}" for i in range(len(carry))], "key", "n").agg(F.count("*").alias("__lines"))
-        lines = F.greatest(F.lit(1), sum((F.when(F.col("n") >= s, 1).otherwise(0) for s in sizes), F.lit(0)))
-        documents = documents.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__lines") / lines).cast("int")))).drop("__lines", "__copy")
+    documents = kept.where("pos = -1").select(*carried, "key", "n")
 
     rarity = matches.groupBy("h").agg(F.count("*").alias("freq"))
     ordered = parts.join(rarity, "h", "left").groupBy("wid", "len").agg(
