@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import MAX_RATIO, ROUNDS, SEED, TEMPER
+from .mixing import SEED, TEMPER
 from .quality import LEVELS, METRICS, MIN_GROUP
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -51,18 +51,16 @@ def mixing_sql() -> str:
     target = lambda d: f"(SELECT {d}, pow(sum(tokens), {TEMPER}) * (SELECT sum(t) / sum(pow(t, {TEMPER})) FROM (SELECT sum(tokens) AS t FROM cells GROUP BY {d})) AS t_{d} FROM cells GROUP BY {d})"
     parts = ["w0 AS (SELECT so, la, topic, tokens, CAST(tokens AS DOUBLE) AS w, t_so, t_la, t_topic FROM cells JOIN " + " JOIN ".join(f"{target(d)} USING ({d})" for d in dims) + ")"]
     n = 0
-    for _ in range(ROUNDS):
+    for _ in range(12):  # as good as converged
         for d in dims:
             parts.append(f"w{n + 1} AS (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM w{n})")
             n += 1
-        parts.append(f"w{n + 1} AS (SELECT * REPLACE (greatest(tokens / {MAX_RATIO}, least(tokens * {MAX_RATIO}, w)) AS w) FROM w{n})")
-        n += 1
     return rf"""
-WITH c AS (SELECT doc_id, so, la, n_tokens, CASE WHEN contains(text, '|') THEN 'table' WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'medium' ELSE 'long' END AS topic FROM (
+WITH c AS (SELECT doc_id, text, so, la, n_tokens, CASE WHEN contains(text, '|') THEN 'table' WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'medium' ELSE 'long' END AS topic FROM (
   SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, 'null') AS so, coalesce('=' || lang, 'null') AS la, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACE}')) AS BIGINT) AS n_tokens FROM documents)),
 cells AS (SELECT so, la, topic, CAST(sum(greatest(n_tokens, 1)) AS BIGINT) AS tokens FROM c GROUP BY ALL), {', '.join(parts)},
 z AS (SELECT so, la, topic, w / tokens AS ratio, max(w / tokens) OVER () AS top, sum(w) OVER () / sum(tokens) OVER () AS total FROM w{n})
-SELECT doc_id, n_tokens, topic, round(ratio / total, 6) AS weight, round(ratio / top, 6) AS keep_prob, ('0x' || substr(md5('{SEED}' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < ratio / top AS kept FROM c JOIN z USING (so, la, topic)"""
+SELECT doc_id, n_tokens, topic, round(ratio / total, 6) AS weight, round(ratio / top, 6) AS keep_prob, ('0x' || substr(md5('{SEED}' || doc_id || ':' || md5(text)), 1, 13))::BIGINT / 4503599627370496.0 < ratio / top AS kept FROM c JOIN z USING (so, la, topic)"""
 
 
 OP9 = """

@@ -123,6 +123,54 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(docs).where("kept").count() == mixed.where("kept").count()
 
 
+def plain_raking(cells, targets, rounds=500):
+    """cells: (source, lang, topic) -> tokens; targets: one dict of tokens for each of the three."""
+    w = {c: float(t) for c, t in cells.items()}
+    for _ in range(rounds):
+        for d in range(3):
+            whole = Counter()
+            for c, x in w.items():
+                whole[c[d]] += x
+            w = {c: x * targets[d].get(c[d], 0) / whole[c[d]] if whole[c[d]] else 0.0 for c, x in w.items()}
+    return w
+
+
+def test_raking_to_given_targets_equals_brute_force(spark):
+    rng = random.Random(6)
+    cells = {(s, la, t): rng.randrange(1, 2000) for s in ("=a", "=b", "null") for la in ("=en", "=de", "=fr") for t in ("=x", "=y") if rng.random() < 0.9}
+    total = sum(cells.values())
+    frame = spark.createDataFrame([(*c, n) for c, n in cells.items()], "__source string, __lang string, __topic string, tokens long")
+    wanted = spark.createDataFrame([("source", "a", 3.0), ("source", "b", 1.0), ("source", None, 1.0), ("source", "absent", 9.0), ("lang", "en", 0.5), ("lang", "de", 0.5)], "dimension string, value string, share double")
+    got = mixing.raked(frame, wanted).cache()
+    own = Counter()
+    for c, n in cells.items():
+        own[c[2]] += n
+    scale = total / sum(v**mixing.TEMPER for v in own.values())
+    targets = [{"=a": total * 0.6, "=b": total * 0.2, "null": total * 0.2}, {"=en": total / 2, "=de": total / 2}, {k: v**mixing.TEMPER * scale for k, v in own.items()}]
+    expected = plain_raking(cells, targets)
+    for r in got.collect():
+        assert r["w"] == pytest.approx(expected[r["__source"], r["__lang"], r["__topic"]], rel=1e-4, abs=1e-3)
+    for r in mixing.marginals(got).collect():
+        assert r["w"] == pytest.approx(r["target"], rel=1e-4, abs=1e-3)
+
+
+def test_targets_that_no_weights_meet_are_told(spark):
+    """Source a is German alone, so one of the two targets has to give way; the rounds still end."""
+    frame = spark.createDataFrame([("=a", "=de", "=x", 10), ("=b", "=de", "=x", 10), ("=b", "=en", "=x", 10)], "__source string, __lang string, __topic string, tokens long")
+    wanted = spark.createDataFrame([("source", "a", 0.9), ("source", "b", 0.1), ("lang", "en", 0.9), ("lang", "de", 0.1)], "dimension string, value string, share double")
+    told = mixing.marginals(mixing.raked(frame, wanted)).where("abs(w - target) > 1").count()
+    assert told > 0
+    assert mixing.mix(empty(spark), targets=wanted).collect() == []
+
+
+def test_mixing_draws_rows_of_null_or_shared_ids_apart(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"words of text {i}", "en", f"s{i % 3}") for i in range(600)], "doc_id long, text string, lang string, source string")
+    wanted = spark.createDataFrame([("source", "s0", 0.5), ("source", "s1", 0.25), ("source", "s2", 0.25)], "dimension string, value string, share double")
+    rows = mixing.mix(docs, targets=wanted).collect()
+    kept = Counter((r["doc_id"], r["source"]) for r in rows if r["kept"])
+    assert all(kept[i, "s0"] == 100 and 25 < kept[i, s] < 75 for i in (None, 7) for s in ("s1", "s2"))
+
+
 def test_mixing_on_awkward_rows(spark):
     rows = mixing.mix(awkward(spark)).collect()
     assert len(rows) == 15 and all(r["weight"] > 0 and isinstance(r["kept"], bool) and r["shard"] == "clash" for r in rows)
@@ -162,6 +210,29 @@ def test_sharding_on_awkward_rows(spark):
     assert sharding.shard_rows(empty(spark)).collect() == []
 
 
+def test_sharding_of_equal_rows_and_of_maps(spark, monkeypatch):
+    """A third of the rows is one row; a map cannot be hashed; small bounds on partitions and blocks."""
+    monkeypatch.setattr(sharding, "MAX_PARTS", 64)
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.create_map(F.lit("a"), F.lit(1)).alias("m.x"), F.lit("z").alias("shard"))
+    rows = sharding.shard_rows(docs, rows_per_block=100).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == 9000 and set(counts.values()) == {1125} and Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+    for s in counts:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(1125))
+    nulls = Counter(r["shard"] for r in rows if r["doc_id"] is None)
+    assert all(n == pytest.approx(375, abs=90) for n in nulls.values())
+
+
+def test_sharding_by_brute_force_of_the_law(spark):
+    """Over many seeds every way to share four rows between two shards is about as frequent."""
+    ways = Counter()
+    docs = spark.createDataFrame([(i,) for i in range(4)], "doc_id long").cache()
+    for seed in range(48):
+        got = sharding.shard_rows(docs, shards=2, seed=seed).collect()
+        ways[tuple(sorted(r["doc_id"] for r in got if r["shard"] == 0))] += 1
+    assert len(ways) == 6 and max(ways.values()) <= 20
+
+
 def test_sharding_is_uniform(spark):
     """Pairs of neighbouring ids share a shard about as often as chance has it."""
     rows = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(spark.range(8000).withColumnRenamed("id", "doc_id")).collect()}
