@@ -1,8 +1,8 @@
 """From raw documents to shards: quality rules, near-duplicate removal, decontamination, mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Rows are told apart by
-doc_id and text, so null ids and repeated rows pass as they are until the second stage, which keeps one row
-of each group of near duplicates. An empty table stays empty; extra columns are passed on.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Null ids and repeated rows pass
+as they are until the second stage, which keeps one row of each group of near duplicates. An empty table stays empty;
+extra columns are passed on. Rows that go are few, so stages join documents with those rather than with the kept.
 """
 
 from __future__ import annotations
@@ -24,16 +24,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
 
 
-def _keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose key is in keys (one column, __row)."""
-    keys = staged(keys.distinct(), "kept-keys", docs.count())
-    return _keyed(docs).join(broadcast_within(keys, MAX_BROADCAST_KEYS), "__row", "left_semi").select(*docs.columns)
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose key is not in keys (a staged table of one column, __row), those that go."""
+    return _keyed(docs).join(broadcast_within(keys, MAX_BROADCAST_KEYS), "__row", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within the fences of their language and source."""
-    verdicts = quality_verdicts(_keyed(docs).select("__row", "text", "lang", "source"), ["__row"])
-    return _keep(docs, verdicts.where("kept").select("__row"))
+    """Documents that pass the base rules and lie within the fences of their own language and source.
+
+    Whole rows go through the rules, so each has a verdict of its own and no join of documents is needed.
+    """
+    own = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__document"))
+    return quality_verdicts(own, ["__document"]).where("kept").select("__document.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +47,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.count()
     keyed = _keyed(docs)
     found = staged(jaccard_components(keyed.select("__row", "text"), key="__row", k=5, num=80, den=100), "near-duplicates", rows)
-    named = found.select("__row", "component_id").distinct().join(keyed.select("__row", "doc_id").distinct(), "__row")
+    shared = found.groupBy("component_id").agg(F.count("*").alias("n"), F.countDistinct("__row").alias("texts")).where("n > 1")
+    groups = staged(found.join(shared.where("texts > 1").select("component_id"), "component_id").select("__row", "component_id").distinct(), "groups", rows)
+    named = groups.join(keyed.select("__row", "doc_id").distinct(), "__row")
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
-    ids = staged(best.select(F.col("best.__row").alias("__row")), "kept-ids", rows)
-    kept = keyed.join(broadcast_within(ids, MAX_BROADCAST_KEYS), "__row", "left_semi")
-    if found.groupBy("__row").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__row"])
-    return kept.select(*docs.columns)
+    gone = groups.join(best, "component_id").where("__row != best.__row").select("__row").distinct()
+    kept = _without(docs, staged(gone, "gone", rows))
+    if shared.where("n > texts").limit(1).count():  # rows that agree in doc_id and text
+        kept = _keyed(kept).dropDuplicates(["__row"]).select(*docs.columns)
+    return kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
     hits = hit_summary(_keyed(docs).select("__row", "text"), table(spark, sf_dir, "benchmark"), ["__row"])
-    return _keep(docs, hits.where("NOT contaminated").select("__row"))
+    return _without(docs, staged(hits.where("contaminated").select("__row").distinct(), "hit", docs.count()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
