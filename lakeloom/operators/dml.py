@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakeloom.operators.scans import first_per_key, last_per_key
 from lakeloom.sources.tables import TableDef
@@ -35,7 +36,28 @@ def _null_safe(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return out
 
 
-def enforce_checks(rows: DataFrame, table: TableDef, views: dict[str, DataFrame] | None = None) -> None:
+def checks_for(table: TableDef, operation: str) -> list[str]:
+    """The CHECKs of a table for INSERT or UPDATE: `ON INSERT <sql>` and `ON UPDATE <sql>` hold for their operation alone."""
+    out = []
+    for check in table.checks:
+        head = check.split(None, 2)
+        if len(head) == 3 and head[0].upper() == "ON" and head[1].upper() in ("INSERT", "UPDATE"):
+            if head[1].upper() == operation:
+                out.append(head[2])
+        else:
+            out.append(check)
+    return out
+
+
+def check_failures(rows: DataFrame, table: TableDef, operation: str) -> DataFrame:
+    """Rows for which some CHECK over the row alone is false. An unknown CHECK passes."""
+    failed = F.lit(False)
+    for check in checks_for(table, operation):
+        failed |= ~F.coalesce(F.expr(check), F.lit(True))
+    return rows.alias("new").where(failed)
+
+
+def enforce_checks(rows: DataFrame, table: TableDef, views: dict[str, DataFrame] | None = None, operation: str = "INSERT") -> None:
     """Raise where a NOT NULL column is null or a CHECK is false. An unknown CHECK passes.
 
     A CHECK is SQL over the row; it may read the frames in `views`, such as committed_T, by scalar subqueries.
@@ -46,7 +68,7 @@ def enforce_checks(rows: DataFrame, table: TableDef, views: dict[str, DataFrame]
     for n, _, nullable in table.columns:
         if not nullable and n not in table.primary_key and rows.where(F.col(n).isNull()).limit(1).count():
             raise ConstraintError(f"NOT NULL constraint failed: {table.name}.{n}")
-    for check in table.checks:
+    for check in checks_for(table, operation):
         if rows.sparkSession.sql(f"SELECT 1 FROM new_rows new WHERE NOT coalesce(({check}), true) LIMIT 1").count():
             raise ConstraintError(f"CHECK constraint failed: {check}")
 
@@ -96,20 +118,52 @@ def delete(base: DataFrame, keys: DataFrame, table: TableDef) -> DataFrame:
     return base.join(keys, _null_safe(base, keys, table.primary_key), "left_anti")
 
 
+def delete_where(base: DataFrame, predicate: Column) -> DataFrame:
+    """base without the rows for which the predicate is true; where it is unknown they stay."""
+    return base.where(~F.coalesce(predicate, F.lit(False)))
+
+
+def update_where(base: DataFrame, predicate: Column, values: dict[str, Column], table: TableDef, action: str | None = None) -> DataFrame:
+    """base with the values set where the predicate is true; rows whose key moves go through the constraints."""
+    hit = F.coalesce(predicate, F.lit(False))
+    sets = {c for u in table.unique for c in u.columns} | set(table.primary_key)
+    if not sets.intersection(values):
+        return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+    rows = base.where(hit).select("*", *[F.col(k).alias(f"old_{k}") for k in table.primary_key]).withColumns(values)
+    ordinal = F.row_number().over(Window.orderBy(*[f"old_{k}" for k in table.primary_key]))  # one order for all: that of the keys
+    return update(base, rows.withColumn("__at", ordinal), table, "__at", action)
+
+
+#: Rows of one key that a round of upsert folds at a time.
+FOLD_ROWS = 10_000
+
+
 def upsert(base: DataFrame, rows: DataFrame, key: list[str], set_columns: dict[str, Callable[[Column, Column], Column]] | None, ordinal: str) -> DataFrame:
-    """ON CONFLICT (key): DO NOTHING where set_columns is None, else each column becomes f(old, excluded)."""
-    rows = first_per_key(rows, key, [F.col(ordinal)]) if set_columns is None else last_per_key(rows, key, [F.col(ordinal)])
-    a, b = base.alias("a"), rows.alias("b")
-    on = F.lit(True)
-    for k in key:
-        on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = a.withColumn("__a", F.lit(1)).alias("a").join(b.withColumn("__b", F.lit(1)).alias("b"), on, "full")
-    out = []
-    for c in base.columns:
-        old, new = F.col(f"a.{c}"), F.col(f"b.{c}")
-        changed = set_columns[c](old, new) if set_columns and c in set_columns else old
-        out.append(F.when(F.col("__a").isNull(), new).when(F.col("__b").isNull(), old).otherwise(changed).alias(c))
-    return both.select(*out)
+    """ON CONFLICT (key): DO NOTHING where set_columns is None, else each column becomes f(old, excluded).
+
+    Rows of one key follow one another in the order of `ordinal`: the first is inserted where the key is free, each
+    further one meets what those before it left. They are folded within a row, FOLD_ROWS of a key in a round.
+    """
+    columns = base.columns
+    if set_columns is None:
+        fresh = first_per_key(rows, key, [F.col(ordinal)])
+        return base.unionByName(fresh.join(base, _null_safe(fresh, base, key), "left_anti").select(*columns))
+    pack = lambda prefix="": F.struct(*[F.col(f"{prefix}{c}").cast(base.schema[c].dataType).alias(c) for c in columns])
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal)) - 1).withColumn("__round", F.floor(F.col("__n") / FOLD_ROWS))
+    most = numbered.agg(F.max("__round")).first()[0]
+    step = lambda old, new: F.struct(*[(set_columns[c](old[c], new[c]).cast(base.schema[c].dataType) if c in set_columns else old[c]).alias(c) for c in columns])
+    for i in range(0 if most is None else most + 1):
+        part = numbered.where(F.col("__round") == i).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), pack().alias("row")))).alias("__rows"))
+        old = base.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(key)], pack().alias("__old"))
+        same = F.lit(True)
+        for j, k in enumerate(key):
+            same &= part[k].eqNullSafe(old[f"__k{j}"])
+        both = part.join(old, same, "full")
+        first = F.coalesce(F.col("__old"), F.get("__rows", F.lit(0))["row"])
+        later = F.when(F.col("__old").isNull(), F.slice("__rows", 2, F.greatest(F.size("__rows") - 1, F.lit(0)))).otherwise(F.col("__rows"))
+        done = F.when(F.col("__rows").isNull(), F.col("__old")).otherwise(F.aggregate(later, first, lambda acc, x: step(acc, x["row"])))
+        base = both.select(done.alias("r")).select("r.*")
+    return base
 
 
 def merge_batch(base: DataFrame, batch: DataFrame, key: list[str], ordinal: str, deleted: str) -> DataFrame:

@@ -135,3 +135,16 @@ def fan_out(selected: DataFrame, providers: DataFrame, slot: str, key: str, atta
     found = providers.join(F.broadcast(selected.select(slot)), slot, "left_semi").where(matches)  # shards: a few by construction
     once = found.groupBy(key).agg(F.min(attached).alias(attached))
     return once.orderBy(attached, key).limit(want)
+
+
+def tier_walk(seekers: DataFrame, states: DataFrame, key: str, start: int, most: int = 60) -> DataFrame:
+    """Where each seeker's walk ends: tier and hops.
+
+    states: key, tier and promoted, one row for each tier that holds state. From tier `start` seekers go inward to the
+    first tier with state, or to the root, tier 0; where that tier has been promoted they go one outward, at most to `most`.
+    """
+    met = states.where(F.col("tier").between(1, start)).groupBy(key).agg(F.max(F.struct("tier", "promoted")).alias("at"))
+    tier = F.coalesce(F.col("at.tier"), F.lit(0))
+    out = F.when(F.coalesce(F.col("at.promoted"), F.lit(False)), 1).otherwise(0)
+    walked = seekers.join(met, key, "left").select(*seekers.columns, tier.alias("__met"), out.alias("__out"))
+    return walked.select(*seekers.columns, F.least(F.col("__met") + F.col("__out"), F.lit(most)).alias("tier"), (F.lit(start) - F.col("__met") + F.col("__out")).alias("hops"))

@@ -57,3 +57,16 @@ def growth_promotes(df: DataFrame, by: list[str], millis: str, count: str, windo
     span = F.col(millis) - t0
     slope = F.when(span > 0, (F.col(count) - c0) / span)
     return df.withColumn("slope", slope).withColumn("promotes", F.coalesce((F.col("slope") > 0) & (F.col(count) + F.col("slope") * lookahead_ms >= cap), F.lit(False)))
+
+
+def churn(contacts: DataFrame, peer: str, order: str, ms: str, departure: Column, failure: Column, now_ms: int, window_ms: int = 10_000, failures: int = 3, alarm: int = 5) -> DataFrame:
+    """For each peer whether it departed within the window, or is unreachable: `failures` last contacts failed and no departure.
+
+    partitioned tells on every row whether `alarm` peers or more are one or the other.
+    """
+    broke = F.sum(F.when(~failure, 1).otherwise(0)).over(Window.partitionBy(peer).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    marked = contacts.withColumn("__left", departure & (F.col(ms) > now_ms - window_ms)).withColumn("__breaks", broke)
+    peers = marked.groupBy(peer).agg(F.bool_or("__left").alias("departed"), (F.count_if(F.col("__breaks") == 0) >= failures).alias("__failed"))
+    peers = peers.select(peer, "departed", (F.col("__failed") & ~F.col("departed")).alias("unreachable"))
+    whole = peers.agg((F.count_if(F.col("departed") | F.col("unreachable")) >= alarm).alias("partitioned"))
+    return peers.join(F.broadcast(whole), F.lit(True))  # one row

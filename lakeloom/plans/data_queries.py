@@ -12,6 +12,7 @@ from lakeloom.sources.scratch import saved
 
 REVS = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rev FROM events"
 MS = "(epoch_us(ts) // 1000)"
+CHURN_NOW = 1706659200000
 
 
 def millis():
@@ -70,11 +71,11 @@ def log_bucketed_counts(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("bucket", matching.log_bucket(F.col("n")))
 
 
-SLOTS = "SELECT s.slot, coalesce(n, 0) AS n, CAST(CASE WHEN n >= 1 THEN 1 << CAST(floor(log2(n)) AS INT) ELSE 0 END AS BIGINT) AS bucket FROM (SELECT CAST(range AS INT) AS slot FROM range(32)) s LEFT JOIN (SELECT CAST(user_id % 29 AS INT) AS slot, count(*) AS n FROM events WHERE user_id % 3 = 0 OR user_id < 90 GROUP BY ALL) c ON c.slot = s.slot"
+SLOTS = "SELECT s.slot, coalesce(n, 0) AS n, CAST(CASE WHEN n >= 1 THEN 1 << CAST(floor(log2(n)) AS INT) ELSE 0 END AS BIGINT) AS bucket FROM (SELECT CAST(range AS INT) AS slot FROM range(32)) s LEFT JOIN (SELECT CAST(user_id % 29 AS INT) AS slot, count(*) AS n FROM events GROUP BY ALL) c ON c.slot = s.slot"
 
 
 def slots(spark, sf):
-    return matching.slot_counts(table(spark, sf, "events").where("user_id % 3 = 0 OR user_id < 90"), F.col("user_id") % 29, 32, keep_empty=True)
+    return matching.slot_counts(table(spark, sf, "events"), F.col("user_id") % 29, 32, keep_empty=True)
 
 
 @query(SLOTS)
@@ -151,13 +152,13 @@ def interval_contiguity(spark, sf):
     return changes.contiguous(blocks, ["user_id"], "low", "high").drop("b")
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT user_id, rev, sha256('e' || event_id) AS d FROM ({REVS}) WHERE rev <= 12), f(user_id, rev, acc) AS (
-  SELECT user_id, 1::BIGINT, sha256(unhex(d)) FROM l WHERE rev = 1 UNION ALL SELECT l.user_id, l.rev, sha256(unhex(f.acc) || unhex(l.d)) FROM f JOIN l ON l.user_id = f.user_id AND l.rev = f.rev + 1)
-SELECT user_id, 12::BIGINT AS n, 1::BIGINT AS from_rev, 12::BIGINT AS to_rev, acc AS digest FROM f WHERE rev = 12""")
+@query(f"""WITH RECURSIVE l AS (SELECT user_id, rev, (rev - 1) // 16 AS span, sha256('e' || event_id) AS d FROM ({REVS})), f(user_id, span, rev, acc) AS (
+  SELECT user_id, span, rev, sha256(unhex(d)) FROM l WHERE rev % 16 = 1 UNION ALL SELECT l.user_id, l.span, l.rev, sha256(unhex(f.acc) || unhex(l.d)) FROM f JOIN l ON l.user_id = f.user_id AND l.span = f.span AND l.rev = f.rev + 1)
+SELECT user_id, count(*) AS n, min(rev) AS from_rev, max(rev) AS to_rev, arg_max(acc, rev) AS digest FROM f GROUP BY user_id, span""")
 def checkpoint_digest(spark, sf):
-    log = revisions(spark, sf).where("rev <= 12")
-    folded = changes.digest_fold(log, ["user_id"], "rev", F.unhex(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256)))
-    return folded.where("n = 12")
+    """Every log in spans of 16 revisions, one digest a span."""
+    log = revisions(spark, sf).withColumn("span", F.floor((F.col("rev") - 1) / 16))
+    return changes.digest_fold(log, ["user_id", "span"], "rev", F.unhex(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256))).drop("span")
 
 
 @query(f"SELECT user_id, block, CASE WHEN bytes <= 80 THEN delta END AS delta, bytes FROM (SELECT user_id, rev // 8 AS block, string_agg(props, '' ORDER BY rev) AS delta, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM ({REVS}) GROUP BY ALL)")
@@ -213,17 +214,18 @@ def commit_blocks(spark, sf):
     return changes.commit_blocks(revisions(spark, sf).select("user_id", "rev"), ["user_id"], "rev")
 
 
-CASCADE = "reads AS (SELECT l_orderkey AS action, l_partkey AS block, l_linenumber AS rev FROM lineitem WHERE l_orderkey < 3000), writes AS (SELECT o_orderkey AS action, o_custkey AS block, CAST(o_orderkey % 7 + 1 AS INT) AS rev FROM orders WHERE o_orderkey < 3000)"
+CASCADE = "reads AS (SELECT l_orderkey AS action, l_partkey AS block, l_linenumber AS rev FROM lineitem), writes AS (SELECT o_orderkey AS action, o_custkey AS block, CAST(o_orderkey % 7 + 1 AS INT) AS rev FROM orders)"
 
 
 @query(f"""WITH RECURSIVE {CASCADE}, edges AS (SELECT DISTINCT w.action AS a, r.action AS b FROM writes w JOIN reads r USING (block, rev)),
-walk(action, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT b, depth + 1 FROM walk JOIN edges ON a = action WHERE depth < 12)
+walk(action, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT b, depth + 1 FROM walk JOIN edges ON a = action WHERE depth < 24)
 SELECT action, min(depth) AS depth FROM walk GROUP BY action""")
 def invalidation_cascade(spark, sf):
-    reads = table(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("action"), F.col("l_partkey").alias("block"), F.col("l_linenumber").cast("int").alias("rev"))
-    writes = table(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("action"), F.col("o_custkey").alias("block"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("rev"))
+    """To the end: the SQL walks cycles again and again, so it stops at a depth that no least depth reaches."""
+    reads = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("action"), F.col("l_partkey").alias("block"), F.col("l_linenumber").cast("int").alias("rev"))
+    writes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("action"), F.col("o_custkey").alias("block"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("rev"))
     roots = spark.range(5, 6).select(F.col("id").alias("action"))
-    return changes.cascade(reads, writes, roots, 12, lambda df: saved(df, "cascade")).drop("escalation")
+    return changes.cascade(reads, writes, roots, stage=lambda df: saved(df, "cascade")).drop("escalation")
 
 
 @query("""SELECT l_orderkey AS action, CASE WHEN bool_or(l_discount = 0.1) THEN 'unevaluable' WHEN bool_or(l_quantity <> greatest(l_quantity, 3)) THEN 'invalidate' ELSE 'retain' END AS verdict FROM lineitem GROUP BY l_orderkey""")
@@ -275,10 +277,10 @@ def quorum_assembly(spark, sf):
 
 @query("""SELECT c_custkey, (k % 5) AS primary, (k + 1) % 5 AS backup1, (k + 2) % 5 AS backup2 FROM (
   SELECT c_custkey, list_reduce([0::HUGEINT] || list_transform(range(0, 8), lambda i: ('0x' || substr(d, CAST(i * 8 + 1 AS BIGINT), 8))::HUGEINT), lambda a, b: (a * 4294967296 + b) % 5)::BIGINT AS k
-  FROM (SELECT c_custkey, sha256(c_custkey || 'e1') AS d FROM customer WHERE c_custkey < 200))""")
+  FROM (SELECT c_custkey, sha256(c_custkey || 'e1') AS d FROM customer))""")
 def slot_assignment(spark, sf):
     members = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("member"))
-    participants = table(spark, sf, "customer").where("c_custkey < 200").select("c_custkey")
+    participants = table(spark, sf, "customer").select("c_custkey")
     return matching.assign_slots(participants, members, "c_custkey", "member", "e1")
 
 
@@ -297,18 +299,29 @@ def start_and_tree_depth(spark, sf):
     return n.select("n", matching.start_depth(F.col("n"), F.lit(1.0)).cast("int").alias("depth"), matching.tree_depth(F.col("n"), 64, 16).cast("int").alias("tree"))
 
 
-@query("SELECT event_id, least(100.0 * pow(2.0, event_id % 8), 5000.0) AS wait FROM events WHERE event_id < 64")
+@query("SELECT event_id, least(100.0 * pow(2.0, event_id % 8), 5000.0) AS wait, true AS jitter_in_bounds FROM events")
 def backoff_schedule(spark, sf):
-    return table(spark, sf, "events").where("event_id < 64").select("event_id", matching.backoff_ms(F.col("event_id") % 8).alias("wait"))
+    """Waits without jitter, and whether those with jitter lie between a half and the whole of them."""
+    full, less = matching.backoff_ms(F.col("event_id") % 8), matching.backoff_ms(F.col("event_id") % 8, seed=7)
+    e = table(spark, sf, "events").select("event_id", full.alias("wait"), less.alias("less"))
+    return e.select("event_id", "wait", F.col("less").between(F.col("wait") / 2, F.col("wait")).alias("jitter_in_bounds"))
 
 
 @query("""WITH RECURSIVE t(user_id, tier, hops) AS (SELECT user_id, 3, 0 FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, tier - 1, hops + 1 FROM t WHERE tier > 0 AND user_id % (tier + 1) <> 0)
 SELECT user_id, min(tier) AS tier, max(hops) AS hops FROM t GROUP BY user_id""")
 def tier_walk(spark, sf):
     """Start at the deepest tier and walk inwards while a tier has no state for the user."""
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    walk = "WITH RECURSIVE t(user_id, tier, hops) AS (SELECT user_id, 3, 0 FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, tier - 1, hops + 1 FROM t WHERE tier > 0 AND user_id % (tier + 1) <> 0)"
-    return spark.sql(f"{walk} SELECT user_id, min(tier) AS tier, max(hops) AS hops FROM t GROUP BY user_id")
+    users = table(spark, sf, "events").select("user_id").distinct()
+    states = users.select("user_id", F.explode(F.array(*map(F.lit, range(1, 4)))).alias("tier")).where("user_id % (tier + 1) = 0").withColumn("promoted", F.lit(False))
+    return matching.tier_walk(users, states, "user_id", 3).select("user_id", "tier", "hops")
+
+
+@query("""SELECT user_id, coalesce((SELECT max(t) FROM range(1, 4) r(t) WHERE user_id % (t + 1) = 0), 0) + CASE WHEN coalesce((SELECT max(t) FROM range(1, 4) r(t) WHERE user_id % (t + 1) = 0), 0) > 0 AND user_id % 5 = 0 THEN 1 ELSE 0 END AS tier FROM (SELECT DISTINCT user_id FROM events)""")
+def tier_walk_promoted(spark, sf):
+    """Where the tier that is met has been promoted, one hop outward again."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    states = users.select("user_id", F.explode(F.array(*map(F.lit, range(1, 4)))).alias("tier")).where("user_id % (tier + 1) = 0").withColumn("promoted", F.col("user_id") % 5 == 0)
+    return matching.tier_walk(users, states, "user_id", 3).select("user_id", F.col("tier").cast("long").alias("tier"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, sha256('round1:' || s_suppkey) AS h FROM supplier) SELECT s_suppkey FROM s ORDER BY h LIMIT 7""")
@@ -325,17 +338,14 @@ def claim_evaluation(spark, sf):
     return c.join(F.broadcast(every), F.lit(True))
 
 
-@query(f"""WITH e AS (SELECT *, {MS} AS ms FROM events), g AS (SELECT user_id, count(*) FILTER (event_type = 'signup' AND ms > 1706570000000) AS byes FROM e GROUP BY user_id),
+@query(f"""WITH e AS (SELECT *, {MS} AS ms FROM events), g AS (SELECT user_id, count(*) FILTER (event_type = 'signup' AND ms > {CHURN_NOW} - 10000000) AS byes FROM e GROUP BY user_id),
 f AS (SELECT user_id, rev, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rev DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS breaks FROM ({REVS})),
 u AS (SELECT user_id, count(*) FILTER (breaks = 0) AS fails FROM f GROUP BY user_id)
-SELECT g.user_id, byes > 0 AS departed, fails >= 2 AND byes = 0 AS unreachable FROM g JOIN u USING (user_id)""")
+SELECT g.user_id, byes > 0 AS departed, fails >= 3 AND byes = 0 AS unreachable, count(*) FILTER (byes > 0 OR fails >= 3) OVER () >= 5 AS partitioned FROM g JOIN u USING (user_id)""")
 def churn_status(spark, sf):
     """Recent departures and peers whose latest contacts all failed."""
     e = revisions(spark, sf).withColumn("ms", millis())
-    byes = e.groupBy("user_id").agg(F.count_if((F.col("event_type") == "signup") & (F.col("ms") > 1706570000000)).alias("byes"))
-    broke = F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy(F.desc("rev")).rowsBetween(Window.unboundedPreceding, 0))
-    fails = e.withColumn("breaks", broke).groupBy("user_id").agg(F.count_if(F.col("breaks") == 0).alias("fails"))
-    return byes.join(fails, "user_id").select("user_id", (F.col("byes") > 0).alias("departed"), ((F.col("fails") >= 2) & (F.col("byes") == 0)).alias("unreachable"))
+    return metrics.churn(e, "user_id", "rev", "ms", F.col("event_type") == "signup", F.col("event_type") == "error", CHURN_NOW, window_ms=10_000_000)
 
 
 @query("""SELECT user_id, CAST(least(8192, greatest(256, ceil(60 * count(*) / 8.0))) AS INT) AS w, CAST(user_id::INT & 5 AS INT) AS willing FROM events GROUP BY user_id""")
@@ -361,11 +371,11 @@ def ranking_windows(spark, sf):
 
 
 @query(f"""WITH sh AS (SELECT slot FROM (SELECT *, row_number() OVER (ORDER BY bucket DESC, slot) AS k FROM ({SLOTS}) WHERE bucket > 0) WHERE k <= 3)
-SELECT event_id, ts FROM events WHERE user_id % 29 IN (SELECT slot FROM sh) AND event_type <> 'error' AND (user_id % 3 = 0 OR user_id < 90) ORDER BY ts, event_id LIMIT 15""")
+SELECT event_id, ts FROM events WHERE user_id % 29 IN (SELECT slot FROM sh) AND event_type <> 'error' ORDER BY ts, event_id LIMIT 15""")
 def shard_fan_out(spark, sf):
     """The most populated shards, their providers once each, filtered again."""
     top = matching.select_shards(slots(spark, sf), 10**6, 1.0, 3)
-    providers = table(spark, sf, "events").where("user_id % 3 = 0 OR user_id < 90").withColumn("slot", (F.col("user_id") % 29).cast("int"))
+    providers = table(spark, sf, "events").withColumn("slot", (F.col("user_id") % 29).cast("int"))
     return matching.fan_out(top, providers, "slot", "event_id", "ts", F.col("event_type") != "error", 15)
 
 

@@ -111,9 +111,9 @@ def block_as_of(spark, sf):
 
 
 @query("""SELECT ids.id AS c_custkey, c_name, CASE WHEN c_custkey IS NULL THEN 'absent' ELSE 'present' END AS status
-FROM (SELECT DISTINCT o_custkey * 2 AS id FROM orders WHERE o_orderkey < 400) ids LEFT JOIN customer ON c_custkey = ids.id""")
+FROM (SELECT DISTINCT o_custkey * 2 AS id FROM orders) ids LEFT JOIN customer ON c_custkey = ids.id""")
 def pinned_batch_get(spark, sf):
-    ids = table(spark, sf, "orders").where("o_orderkey < 400").select((F.col("o_custkey") * 2).alias("c_custkey"))
+    ids = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"))
     return scans.pinned_get(table(spark, sf, "customer").select("c_custkey", "c_name"), ids, "c_custkey")
 
 
@@ -133,9 +133,13 @@ def is_null_predicate(spark, sf):
     return joined.where("quality IS NULL OR quality = 0").select("doc_id", F.col("quality").isNull().alias("unlabelled"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT coalesce(l_quantity <= 49 AND l_discount >= 0, true)")
+@query("SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT coalesce(l_quantity <= 49 AND l_discount >= 0, true)")
 def check_violations(spark, sf):
-    return table(spark, sf, "lineitem").where(~F.coalesce((F.col("l_quantity") <= 49) & (F.col("l_discount") >= 0), F.lit(True))).select("l_orderkey", "l_linenumber", "l_quantity")
+    from lakeloom.operators.dml import check_failures
+    from lakeloom.sources.tables import TableDef
+
+    lines = TableDef("lines", [("l_orderkey", "INTEGER", False), ("l_linenumber", "INTEGER", False)], ["l_orderkey"], checks=["new.l_quantity <= 49", "new.l_discount >= 0"])
+    return check_failures(table(spark, sf, "lineitem"), lines, "INSERT").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
 
 
 @query("SELECT event_id FROM events WHERE epoch_us(ts) // 1000 - epoch_ms(TIMESTAMP '2024-01-15') > 900000")
@@ -198,11 +202,11 @@ def outer_join_counts(spark, sf):
     return n.join(r, n.n_regionkey == r.r_regionkey).join(c, c.c_nationkey == n.n_nationkey, "left").groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
 
 
-@query("""SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_orderdate, o_custkey % 150 AS u FROM orders WHERE o_orderkey < 2000) o
+@query("""SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_orderdate, o_custkey % 150 AS u FROM orders) o
 ASOF LEFT JOIN (SELECT event_id, user_id, ts - INTERVAL 9000 DAYS + INTERVAL 7000 DAYS AS at FROM events) e ON o.u = e.user_id AND o.o_orderdate >= e.at""")
 def as_of_join(spark, sf):
     """As-of by one sort: both sides in a union, the last right row so far carried along."""
-    o = table(spark, sf, "orders").where("o_orderkey < 2000").select("o_orderkey", (F.col("o_custkey") % 150).alias("u"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("u"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"))
     e = table(spark, sf, "events").select(F.lit(None).cast("long").alias("o_orderkey"), F.col("user_id").alias("u"), (F.col("ts").cast("timestamp") - F.expr("INTERVAL 2000 DAYS")).alias("at"), F.lit(0).alias("side"), "event_id")
     w = Window.partitionBy("u").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from lakeloom.operators import dml
 from lakeloom.operators.txn import Transaction
 from lakeloom.registry import query, table
 from lakeloom.sources import formats
+from lakeloom.sources.scratch import shared_dir
 from lakeloom.sources.tables import Store, TableDef, Unique
 
 LINES = TableDef("lines", [("l_orderkey", "INTEGER", False), ("l_linenumber", "INTEGER", False), ("l_quantity", "REAL", True)], ["l_orderkey", "l_linenumber"])
@@ -50,7 +50,7 @@ def insert_or_abort(spark, sf):
     return spark.createDataFrame([("ABORT", message)], "action string, message string")
 
 
-@query(f"WITH b AS ({BASE}), d AS ({DELTA}), l AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ord DESC) AS n FROM d) WHERE n = 1) SELECT coalesce(b.l_orderkey, l.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, l.l_linenumber) AS l_linenumber, CASE WHEN b.l_orderkey IS NULL THEN q WHEN l.l_orderkey IS NULL THEN l_quantity ELSE l_quantity + q END AS l_quantity FROM b FULL JOIN l ON b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber")
+@query(f"WITH b AS ({BASE}), d AS ({DELTA}), l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM d GROUP BY ALL) SELECT coalesce(b.l_orderkey, l.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, l.l_linenumber) AS l_linenumber, CASE WHEN b.l_orderkey IS NULL THEN q WHEN l.l_orderkey IS NULL THEN l_quantity ELSE l_quantity + q END AS l_quantity FROM b FULL JOIN l ON b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber")
 def upsert_do_update(spark, sf):
     base, delta = lines(spark, sf)
     return dml.upsert(base, delta, ["l_orderkey", "l_linenumber"], {"l_quantity": lambda old, new: old + new}, "ord")
@@ -65,34 +65,33 @@ def tree_batch_merge(spark, sf):
 @query(f"WITH b AS ({BASE}) SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM b WHERE l_quantity < 40")
 def update_delete_where(spark, sf):
     base, _ = lines(spark, sf)
-    kept = dml.delete(base, base.where("l_quantity >= 40").select("l_orderkey", "l_linenumber"), LINES)
-    return kept.withColumn("l_quantity", F.when(F.col("l_quantity") < 10, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    kept = dml.delete_where(base, F.col("l_quantity") >= 40)
+    return dml.update_where(kept, F.col("l_quantity") < 10, {"l_quantity": F.col("l_quantity") + 1}, LINES)
 
 
 CUSTOMERS = TableDef("customers", [("id", "INTEGER", False), ("tag", "TEXT", True)], ["id"], unique=[Unique(["tag"])])
 
 
-@query("""WITH RECURSIVE d AS (SELECT event_id AS id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 't' || (user_id % 60) END AS tag FROM events WHERE event_id < 300)
+@query("""WITH RECURSIVE d AS (SELECT event_id AS id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 't' || (user_id % 60) END AS tag FROM events)
 SELECT id, tag FROM (SELECT id, tag, row_number() OVER (PARTITION BY tag ORDER BY id DESC) AS n FROM d) WHERE n = 1 OR tag IS NULL""")
 def unique_replace_chain(spark, sf):
     """INSERT OR REPLACE with a second UNIQUE set: of each tag the last row stays, null tags all stay."""
-    e = table(spark, sf, "events").where("event_id < 300")
+    e = table(spark, sf, "events")
     rows = e.select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("t"), (F.col("user_id") % 60).cast("string"))).alias("tag"), F.col("event_id").alias("ord"))
     base = spark.createDataFrame([], CUSTOMERS.schema())
     return dml.insert(base, rows, CUSTOMERS, "ord", "REPLACE")
 
 
-@query("""SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 100000 ELSE c_custkey END AS id, c_name AS tag FROM customer WHERE c_custkey < 400""")
+@query("""SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 100000 ELSE c_custkey END AS id, c_name AS tag FROM customer""")
 def update_moves_key(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 400")
+    c = table(spark, sf, "customer")
     base = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("tag"))
     moves = base.where("id % 5 = 0").select(F.col("id").alias("old_id"), (F.col("id") + 100000).alias("id"), "tag", F.col("id").alias("ord"))
     return dml.update(base, moves, CUSTOMERS, "ord")
 
 
 def _store(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return Store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
 
 NATIONS = TableDef("nations", [("id", "INTEGER", False), ("name", "TEXT", False), ("region", "INTEGER", True)], ["id"], checks=["new.id >= 0"], defaults={"name": "concat('N', context_tenant)"}, indexes={"by_region": ["region"]})
@@ -142,9 +141,9 @@ def json_rows(spark, sf):
     return formats.decode_rows(formats.encode_rows(r, ["r_regionkey"]), r.schema)
 
 
-@query("SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS rev, CASE WHEN bool_or(l_orderkey % 2 = 0) THEN 'own' ELSE 'archive' END AS src FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL")
+@query("SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS rev, CASE WHEN bool_or(l_orderkey % 2 = 0) THEN 'own' ELSE 'archive' END AS src FROM lineitem GROUP BY ALL")
 def archive_restore(spark, sf):
-    keys = table(spark, sf, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("rev")).distinct()
+    keys = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("rev")).distinct()
     return formats.restore_archive(keys.where("id % 2 = 0").withColumn("src", F.lit("own")), keys.withColumn("src", F.lit("archive")), ["id"], "rev")
 
 
