@@ -215,10 +215,42 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, c: step(step(h, c.bitwiseAND(F.lit(255))), F.shiftright(c, 8).bitwiseAND(F.lit(255))))
 
 
+def number_form(x: float) -> str:
+    """The text of a finite double as ECMAScript writes it."""
+    if x != x or x in (float("inf"), float("-inf")):
+        raise ValueError("canonical JSON: a number that is not finite")
+    if x == 0:
+        return "0"
+    mantissa, _, exponent = f"{abs(x)!r}".partition("e")
+    whole, _, part = mantissa.partition(".")
+    led = whole + part
+    digits = led.strip("0")
+    point = len(whole) + int(exponent or 0) - (len(led) - len(led.lstrip("0")))  # digits before the point
+    k, sign = len(digits), "-" if x < 0 else ""
+    if k <= point <= 21:
+        return sign + digits + "0" * (point - k)
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    return f"{sign}{digits[0]}{'.' if k > 1 else ''}{digits[1:]}e{'+' if point > 0 else '-'}{abs(point - 1)}"
+
+
+def canonical_text(value: object) -> str:
+    """JSON with keys in UTF-16 order and no spaces."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical_text(k)}:{canonical_text(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical_text, value)) + "]"
+    if isinstance(value, float):
+        return number_form(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
 @F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
-    """JSON text with sorted keys and no spaces; numbers that are not finite are an error."""
-    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+    """JSON text with sorted keys and no spaces, all numbers as doubles; those that are not finite are an error."""
+    return text.map(lambda t: None if t is None else canonical_text(json.loads(t, parse_int=float)))
 
 
 def random_bytes(bits: int = 256, encoding: str = "base64url") -> Column:

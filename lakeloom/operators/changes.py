@@ -39,6 +39,42 @@ def coalesced_delta(log: DataFrame, by: list[str], revision: str, delta: str, ca
     return grouped.withColumn("delta", F.when((F.col("bytes") <= cap) & (F.lit(cap) > 0) & (F.col("__none") == 0), F.col("delta"))).drop("__none")
 
 
+def rolling_checkpoint(log: DataFrame, by: list[str], revision: str, digest: Column, delta: str, window: int = 256, span: int = 4096, cap: int = 65_536) -> DataFrame:
+    """Of each collection the `span` revisions below its newest `window`: their ends, folded digest and coalesced delta."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(revision).desc()))
+    retired = log.withColumn("__n", place).where((F.col("__n") > window) & (F.col("__n") <= window + span)).drop("__n")
+    return digest_fold(retired, by, revision, digest).join(coalesced_delta(retired, by, revision, delta, cap), by)
+
+
+def spliced(items: Column, at: Column, removed: Column, added: Column) -> Column:
+    """items without `removed` entries from place `at` (0: the first), and with `added` there."""
+    head = F.slice(items, F.lit(1), F.least(at, F.size(items)))
+    tail = F.slice(items, F.least(at + removed, F.size(items)) + 1, F.size(items))
+    return F.concat(head, added, tail)
+
+
+def transformed(blocks: DataFrame, operations: DataFrame, order: str) -> DataFrame:
+    """blocks (block, attribute, items) after operations (block, kind, attribute, at, removed, added, `order`).
+
+    Inserts give a block its items, then its updates splice them in order, and a delete wins over both. Splices of a
+    block that is not there, or of an attribute that it lacks, do nothing. One attribute's updates, those of one
+    transform, are folded within a row.
+    """
+    gone = operations.where("kind = 'delete'").select("block").distinct()
+    fresh = operations.where("kind = 'insert'").groupBy("block", "attribute").agg(F.max_by("added", order).alias("items"))
+    kept = blocks.join(fresh.select("block").distinct(), "block", "left_anti").unionByName(fresh).join(gone, "block", "left_anti")
+    steps = operations.where("kind = 'update'").groupBy("block", "attribute").agg(F.array_sort(F.collect_list(F.struct(order, "at", "removed", "added"))).alias("__steps"))
+    fold = F.aggregate("__steps", F.col("items"), lambda acc, s: spliced(acc, s["at"], s["removed"], s["added"]))
+    return kept.join(steps, ["block", "attribute"], "left").select("block", "attribute", F.when(F.col("__steps").isNull(), F.col("items")).otherwise(fold).alias("items"))
+
+
+def merged_operations(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
+    """One transform that does first, then second. What the first did to blocks that the second inserts or deletes is dropped."""
+    told = second.where("kind IN ('insert', 'delete')").select("block").distinct()
+    step = lambda df, i: df.withColumn(order, F.struct(F.lit(i).alias("part"), F.col(order).alias("at")))
+    return step(first.join(told, "block", "left_anti"), 0).unionByName(step(second, 1))
+
+
 def first_seen(log: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Distinct values in order of first appearance."""
     at = log.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("at"))
@@ -136,6 +172,13 @@ def rotations(log: DataFrame, by: list[str], revision: str, tail: str) -> DataFr
     return log.withColumn("prior_tail", prior).where(F.col("prior_tail").isNotNull() & (F.col("prior_tail") != F.col(tail)))
 
 
+def handoffs(log: DataFrame, by: list[str], revision: str, tail: str, ms: str, now: Column, drain_ms: int = 60_000) -> DataFrame:
+    """For each rotation: the last revision under the old tail, until when that one drains, and whether it still does at `now`."""
+    turned = rotations(log, by, revision, tail)
+    ends = turned.withColumn("last_rev", F.col(revision) - 1).withColumn("drains_until", F.col(ms) + drain_ms)
+    return ends.withColumn("draining", now < F.col("drains_until"))
+
+
 def registration_plan(subscribers: DataFrame, ident: str, at: Column, jitter_ms: int = 30_000) -> DataFrame:
     """When each subscriber registers again after a rotation: at, plus a jitter that its identifier fixes."""
     jitter = F.conv(F.substring(F.sha2(F.col(ident).cast("string"), 256), 1, 8), 16, 10).cast("long") % jitter_ms

@@ -40,8 +40,8 @@ def range_scan(df: DataFrame, column: str, low=None, high=None, low_open: bool =
 
 
 def index_entries(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """The index as a relation: its columns and the primary key, clustered by the index columns."""
-    return df.select(*columns, *[k for k in key if k not in columns]).repartitionByRange(*columns).sortWithinPartitions(*columns, *key)
+    """The index as a relation: its columns and the primary key. It is read through predicates and joins, so it is in no order."""
+    return df.select(*columns, *[k for k in key if k not in columns])
 
 
 def index_lookup(base: DataFrame, entries: DataFrame, key: Sequence[str]) -> DataFrame:

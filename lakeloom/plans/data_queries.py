@@ -422,3 +422,35 @@ def chain_operations(spark, sf):
     _, chain = changes.chain_take(chain, 3, head=True)
     _, chain = changes.chain_take(chain, 4)
     return chain.withColumn("place", F.col("place") - 3)
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT user_id, rev, props, sha256('e' || event_id) AS d, row_number() OVER (PARTITION BY user_id ORDER BY rev) AS i FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rev DESC) AS k FROM ({REVS})) WHERE k > 16 AND k <= 40),
+f(user_id, i, acc) AS (SELECT user_id, i, sha256(unhex(d)) FROM l WHERE i = 1 UNION ALL SELECT l.user_id, l.i, sha256(unhex(f.acc) || unhex(l.d)) FROM f JOIN l ON l.user_id = f.user_id AND l.i = f.i + 1)
+SELECT * FROM (SELECT user_id, count(*) AS n, min(rev) AS from_rev, max(rev) AS to_rev, CASE WHEN sum(strlen(props)) <= 250 THEN string_agg(props, '' ORDER BY rev) END AS delta, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM l GROUP BY user_id)
+ JOIN (SELECT user_id, arg_max(acc, i) AS digest FROM f GROUP BY user_id) USING (user_id)""")
+def rolling_checkpoint(spark, sf):
+    log = revisions(spark, sf).select("user_id", "rev", "event_id", "props")
+    return changes.rolling_checkpoint(log, ["user_id"], "rev", F.unhex(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256)), "props", window=16, span=24, cap=250)
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS block, rev, event_id % 4 AS p, event_id % 3 AS m, event_type AS x FROM ({REVS}) WHERE user_id % 7 <> 0),
+f(block, rev, items) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), ['a', 'b', 'c'] FROM events WHERE user_id % 7 <> 0 UNION ALL
+ SELECT o.block, o.rev, f.items[:p] || [x] || f.items[p + m + 1:] FROM f JOIN o ON o.block = f.block AND o.rev = f.rev + 1)
+SELECT block, array_to_string(arg_max(items, rev), ',') AS items FROM f GROUP BY block""")
+def transform_splices(spark, sf):
+    """Blocks of three items, inserted, spliced by every event of their user, and deleted for every seventh."""
+    e = revisions(spark, sf).select(F.col("user_id").alias("block"), "rev", F.lit("update").alias("kind"), (F.col("event_id") % 4).cast("int").alias("at"), (F.col("event_id") % 3).cast("int").alias("removed"), F.array("event_type").alias("added"))
+    users = e.select("block").distinct().select("block", F.lit(0).cast("long").alias("rev"), F.lit(0).alias("at"), F.lit(0).alias("removed"))
+    inserts = users.select("*", F.lit("insert").alias("kind"), F.array(*map(F.lit, "abc")).alias("added"))
+    deletes = users.where("block % 7 = 0").select("*", F.lit("delete").alias("kind"), F.array().cast("array<string>").alias("added"))
+    operations = e.unionByName(inserts).unionByName(deletes).withColumn("attribute", F.lit("items"))
+    blocks = spark.createDataFrame([], "block long, attribute string, items array<string>")
+    return changes.transformed(blocks, operations, "rev").select("block", F.array_join("items", ",").alias("items"))
+
+
+@query(f"""WITH l AS (SELECT user_id, rev, event_type AS tail, lag(event_type) OVER (PARTITION BY user_id ORDER BY rev) AS prior_tail, {MS} AS ms FROM ({REVS}))
+SELECT user_id, rev, prior_tail, rev - 1 AS last_rev, ms + 60000 AS drains_until, {CHURN_NOW} < ms + 60000 AS draining FROM l WHERE prior_tail <> tail""")
+def rotation_handoffs(spark, sf):
+    log = revisions(spark, sf).select("user_id", "rev", F.col("event_type").alias("tail"), millis().alias("ms"))
+    found = changes.handoffs(log, ["user_id"], "rev", "tail", "ms", F.lit(CHURN_NOW))
+    return found.select("user_id", "rev", "prior_tail", "last_rev", "drains_until", "draining")

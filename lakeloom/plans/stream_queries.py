@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import digest
 from lakeloom.plans.scan_queries import revisions
 from lakeloom.registry import query, table
+from lakeloom.sources.scratch import shared_dir
 from lakeloom.streaming import flows, stateful, steps
 
 MS = "(epoch_us(ts) // 1000)"
@@ -20,11 +20,19 @@ def timed(spark, sf):
     return revisions(spark, sf).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
-@query(f"SELECT user_id, rev, md5(props) AS mark FROM ({REVS})")
+LATE = f"rev <= (SELECT max(rev) FROM ({REVS}) x WHERE x.user_id = r.user_id) - 8"
+
+
+def repeated(spark, sf):
+    """Every event twice in a row, and once more after all of the log."""
+    log = timed(spark, sf).select("user_id", "rev", F.md5("props").alias("mark"), F.explode(F.array(*map(F.lit, range(3)))).alias("copy"))
+    return log.withColumn("late", F.col("copy") == 2)
+
+
+@query(f"SELECT user_id, rev, md5(props) AS mark FROM ({REVS}) UNION ALL SELECT user_id, rev, md5(props) FROM ({REVS}) r WHERE {LATE}")
 def notification_dedupe(spark, sf):
-    """Every event twice in the log: the second of each is dropped."""
-    log = timed(spark, sf).select("user_id", "rev", F.md5("props").alias("mark"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    return stateful.in_batch(log, ["user_id"], ["rev", "copy"], steps.dedupe(), "user_id long, rev long, mark string")
+    """The second copies are dropped, and the late ones of the last eight revisions; older ones are forgotten and pass again."""
+    return stateful.in_batch(repeated(spark, sf), ["user_id"], ["late", "rev", "copy"], steps.dedupe(window=8), "user_id long, rev long, mark string")
 
 
 @query(f"""WITH l AS (SELECT user_id, rev FROM ({REVS}) WHERE event_type <> 'error' OR rev < 4), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rev) AS n, min(rev) OVER (PARTITION BY user_id) AS f FROM l),
@@ -37,17 +45,20 @@ def subscriber_contiguity(spark, sf):
 
 
 def rate_sql(rate: int, window: int) -> str:
-    """Greedy acceptance: the state is the list of the last `rate` accepted times."""
+    """Greedy acceptance: the state is the list of the last `rate` accepted times, and the rejections since."""
+    live = f"list_filter(r.acc, lambda t: t > e.ms - {window})"
+    strikes = f"CASE WHEN len({live}) > 0 THEN r.strikes ELSE 0 END"
+    ok = f"len({live}) < {rate}"
     return f"""WITH RECURSIVE e AS (SELECT user_id, {MS} AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rev FROM events),
-r(user_id, rev, ms, acc, ok) AS (SELECT user_id, rev, ms, [ms], true FROM e WHERE rev = 1 UNION ALL
- SELECT e.user_id, e.rev, e.ms, CASE WHEN len(list_filter(r.acc, lambda t: t > e.ms - {window})) < {rate} THEN list_append(list_filter(r.acc, lambda t: t > e.ms - {window}), e.ms) ELSE list_filter(r.acc, lambda t: t > e.ms - {window}) END,
-  len(list_filter(r.acc, lambda t: t > e.ms - {window})) < {rate} FROM r JOIN e ON e.user_id = r.user_id AND e.rev = r.rev + 1)
-SELECT user_id, ms, ok AS accepted FROM r"""
+r(user_id, rev, ms, acc, ok, strikes, wait) AS (SELECT user_id, rev, ms, [ms], true, 0, CAST(0 AS BIGINT) FROM e WHERE rev = 1 UNION ALL
+ SELECT e.user_id, e.rev, e.ms, CASE WHEN {ok} THEN list_append({live}, e.ms) ELSE {live} END, {ok}, CASE WHEN {ok} THEN 0 ELSE {strikes} + 1 END,
+  CASE WHEN {ok} THEN 0 ELSE CAST(least(1000 * pow(2.0, {strikes}), 60000) AS BIGINT) END FROM r JOIN e ON e.user_id = r.user_id AND e.rev = r.rev + 1)
+SELECT user_id, ms, ok AS accepted, wait AS retry_ms FROM r"""
 
 
 @query(rate_sql(4, 300_000_000))
 def rate_limiter(spark, sf):
-    return stateful.in_batch(timed(spark, sf).select("user_id", "ms", "rev"), ["user_id"], ["rev"], steps.rate_limit(rate=4, window_ms=300_000_000), "user_id long, ms long, accepted boolean, retry_ms long").drop("retry_ms")
+    return stateful.in_batch(timed(spark, sf).select("user_id", "ms", "rev"), ["user_id"], ["rev"], steps.rate_limit(rate=4, window_ms=300_000_000), "user_id long, ms long, accepted boolean, retry_ms long")
 
 
 @query()
@@ -56,7 +67,14 @@ def promotion_hysteresis(spark, sf):
     return stateful.in_batch(log, ["event_type"], ["ms", "n"], steps.hysteresis(low_ms=600_000, sticky_ms=60_000), "event_type string, ms long, event string")
 
 
-@query()
+QUEUE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, rev, event_id AS item, CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS drain FROM ({REVS})),
+q(user_id, rev, queue, gone, outcome) AS (SELECT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), '' FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+ SELECT e.user_id, e.rev, CASE WHEN drain > 0 THEN q.queue[3:] WHEN len(q.queue) = 8 THEN list_append(q.queue[2:], e.item) ELSE list_append(q.queue, e.item) END,
+  CASE WHEN drain > 0 THEN q.queue[:2] WHEN len(q.queue) = 8 THEN q.queue[:1] ELSE CAST([] AS BIGINT[]) END, CASE WHEN drain > 0 THEN 'delivered' ELSE 'dropped' END FROM q JOIN e ON e.user_id = q.user_id AND e.rev = q.rev + 1)
+SELECT user_id, unnest(gone) AS item, outcome FROM q"""
+
+
+@query(QUEUE_SQL)
 def bounded_queue(spark, sf):
     log = timed(spark, sf).select("user_id", "rev", F.col("event_id").alias("item"), F.when(F.col("event_type") == "purchase", 2).otherwise(0).alias("drain"))
     return stateful.in_batch(log, ["user_id"], ["rev"], steps.bounded_queue(depth=8), "user_id long, item long, outcome string")
@@ -68,10 +86,20 @@ def ring_retirement(spark, sf):
     return stateful.in_batch(log, ["user_id"], ["rev"], steps.replay_ring(window=32), "user_id long, rev long, payload string")
 
 
-@query(f"SELECT user_id, rev, md5(props) AS mark, true AS advances FROM ({REVS})")
+@query(f"SELECT user_id, rev, md5(props) AS mark, true AS advances FROM ({REVS}) UNION ALL SELECT user_id, rev, md5(props), false FROM ({REVS}) r WHERE {LATE}")
 def forwarder_pipeline(spark, sf):
-    log = timed(spark, sf).select("user_id", "rev", F.md5("props").alias("mark"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    return stateful.in_batch(log, ["user_id"], ["rev", "copy"], steps.forwarder(), "user_id long, rev long, mark string, advances boolean")
+    """Late copies that pass again do not advance."""
+    return stateful.in_batch(repeated(spark, sf), ["user_id"], ["late", "rev", "copy"], steps.forwarder(window=8), "user_id long, rev long, mark string, advances boolean")
+
+
+@query(f"""SELECT user_id, rev, CASE WHEN rev % 10 = 0 AND rev = o THEN 'rebaselined' WHEN rev % 10 = 0 THEN 'ignored' WHEN rev < 10 AND rev = f THEN 'adopted' ELSE 'delivered' END AS outcome
+FROM (SELECT user_id, rev, unnest(CASE WHEN rev % 10 = 0 THEN [rev, -1] ELSE [rev] END) AS o, min(rev) OVER (PARTITION BY user_id) AS f FROM ({REVS}) WHERE rev % 10 NOT IN (8, 9))""")
+def subscriber_rebaseline(spark, sf):
+    """Two revisions of ten are missing; every tenth is a new baseline, told twice: the second one is not ahead."""
+    log = timed(spark, sf).where("rev % 10 NOT IN (8, 9)").select("user_id", "rev", (F.col("rev") % 10 == 0).alias("base"))
+    twice = log.withColumn("copy", F.explode(F.when(F.col("base"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    found = stateful.in_batch(twice, ["user_id"], ["rev", "copy"], steps.contiguity(rebase="base"), "user_id long, rev long, outcome string, from_rev long, to_rev long")
+    return found.select("user_id", "rev", "outcome")
 
 
 @query()
@@ -89,10 +117,7 @@ def notification_origin(spark, sf):
 
 def _drained(spark, df, name: str):
     """Run a stream to its end into a Parquet folder and give what it wrote."""
-    from lakeloom.sources.scratch import saved  # noqa: F401  sets spark.checkpoint.dir where it is unset
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/data")
@@ -109,14 +134,16 @@ def stream_replay_guard(spark, sf):
     return _drained(spark, flows.replay_guard(twice, "ts", "event_id").select("event_id", "user_id"), "guard")
 
 
-@query(f"SELECT user_id, {MS} AS ms, ok AS accepted FROM (SELECT user_id, ts, true AS ok FROM events)")
+@query(rate_sql(4, 300_000_000))
 def stream_rate_limiter(spark, sf):
-    """The same step as the batch form, with state between micro-batches; a window no one exceeds."""
+    """The same step as the batch form, with state between micro-batches."""
     e = _events(spark, sf).withColumn("ms", F.unix_millis("ts")).select("user_id", "ms")
-    limited = stateful.in_stream(e, ["user_id"], ["ms"], steps.rate_limit(rate=100, window_ms=60_000), "user_id long, ms long, accepted boolean, retry_ms long")
-    return _drained(spark, limited.drop("retry_ms"), "limit")
+    limited = stateful.in_stream(e, ["user_id"], ["ms"], steps.rate_limit(rate=4, window_ms=300_000_000), "user_id long, ms long, accepted boolean, retry_ms long")
+    return _drained(spark, limited, "limit")
 
 
-@query()
+@query("""SELECT start, start + INTERVAL 1 DAY AS end, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) FOR k IN range(0, 4)]) AS start FROM events)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
 def stream_arrival_rates(spark, sf):
+    """Windows that the watermark has closed by the end."""
     return _drained(spark, flows.arrival_rates(_events(spark, sf), "ts", "event_type", "1 day", "6 hours", "1 hour"), "rates")

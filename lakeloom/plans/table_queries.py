@@ -117,6 +117,17 @@ def committed_versions(spark, sf):
     return store.read("nations", one).withColumn("at", F.lit("v1")).unionByName(store.read("nations", two).withColumn("at", F.lit("v2")))
 
 
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def diary_append(spark, sf):
+    """A table that grows by appends alone: three parts, each written once."""
+    store = _store(spark)
+    store.create(NATIONS)
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
+    for i in range(3):
+        head = store.append("nations", n.where(F.col("id") % 3 == i))
+    return store.read("nations", head)
+
+
 @query("SELECT 'delete' AS op, n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'update', n_nationkey FROM nation WHERE n_regionkey = 2")
 def version_changes(spark, sf):
     store = _store(spark)

@@ -79,6 +79,12 @@ class TableDef:
         return TableDef.of(TableDef(**{**self.__dict__, "unique": list(mine.values()), "indexes": self.indexes | other.indexes}).text())
 
 
+def has_clashes(rows: DataFrame, columns: list[str], partial: str | None) -> bool:
+    """Whether rows share a value of the columns; nulls equal nothing."""
+    rows = rows.where(partial) if partial else rows
+    return bool(rows.select(*columns).dropna().groupBy(*columns).count().where("count > 1").limit(1).count())
+
+
 CATALOG = "_catalog"
 CATALOG_SCHEMA = StructType([StructField("name", StringType()), StructField("definition", StringType())])
 HEAD_SCHEMA = StructType([StructField("name", StringType()), StructField("version", StringType()), StructField("rev", LongType())])
@@ -102,7 +108,9 @@ class Store:
             heads = self.spark.read.schema(HEAD_SCHEMA).parquet(f"{self.root}/_heads/*")
             rows = heads.where("name IS NOT NULL") if rev is None else heads.where(F.col("rev") == rev)
             rows = rows.where(F.col("rev") == rows.agg(F.max("rev")).first()[0]).collect()  # one row for each table
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             rows = []
         if not rows:
             if rev:
@@ -110,21 +118,42 @@ class Store:
             return Head(0, {})
         return Head(rows[0]["rev"], {r["name"]: r["version"] for r in rows})
 
-    def commit(self, base: Head, changed: dict[str, DataFrame], dropped: tuple[str, ...] = ()) -> Head:
-        """Write changed tables, then the head base.rev + 1. StaleHead where that head exists."""
+    def commit(self, base: Head, changed: dict[str, DataFrame], dropped: tuple[str, ...] = (), appended: dict[str, DataFrame] | None = None) -> Head:
+        """Write changed tables, then the head base.rev + 1. StaleHead where that head exists.
+
+        Rows in `appended` join what the table holds: only they are written. The head is claimed by a file that the
+        file system creates for one writer alone.
+        """
         versions = {n: v for n, v in base.versions.items() if n not in dropped}
         for name, df in changed.items():
             version = uuid.uuid4().hex
             df.write.parquet(f"{self.root}/{name}/v={version}")
             versions[name] = version
+        for name, df in (appended or {}).items():
+            version = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/{name}/v={version}")
+            versions[name] = f"{versions[name]},{version}" if name in versions else version
         rev = base.rev + 1
+        claim = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/h={rev}")
+        files = claim.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.createNewFile(claim):
+            raise StaleHead(f"revision {rev} exists; begin again")
         rows = self.spark.createDataFrame([(n, v, rev) for n, v in sorted(versions.items())] or [("", "", rev)], HEAD_SCHEMA)
         try:
             rows.coalesce(1).write.mode("error").parquet(f"{self.root}/_heads/h={rev}")
-        except AnalysisException as e:
-            raise StaleHead(f"revision {rev} exists; begin again") from e
+        except Exception:
+            files.delete(claim, False)
+            raise
         return Head(rev, versions)
 
+    def append(self, name: str, rows: DataFrame) -> Head:
+        """Entries at the end of a table, whose own rows are not written again; a newer head is appended to as it is."""
+        while True:
+            try:
+                return self.commit(self.head(), {}, appended={name: rows})
+            except StaleHead:
+                continue
+
     # reads
 
     def read(self, name: str, head: Head | None = None) -> DataFrame:
@@ -133,7 +162,7 @@ class Store:
         schema = CATALOG_SCHEMA if name == CATALOG else self.definition(name, head).schema()
         if name not in head.versions:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={head.versions[name]}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/v={v}" for v in head.versions[name].split(",")])
 
     def changes(self, name: str, key: list[str], older: Head, newer: Head) -> DataFrame:
         """Rows that differ between two heads: op insert, update or delete, with the newer values."""
@@ -174,6 +203,8 @@ class Store:
         known = self.definitions(head)
         d = known[table]
         d.indexes[name] = [d.column(c) for c in columns]
+        if unique and has_clashes(self.read(table, head), d.indexes[name], partial):
+            raise SchemaConflict(f"UNIQUE index {name}: rows of {table} share a value already")
         if unique:
             d.unique.append(Unique(d.indexes[name], on_conflict, partial))
         return self.commit(head, {CATALOG: self._catalog(known)})

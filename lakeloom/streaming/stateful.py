@@ -10,27 +10,36 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
+ROWS_PER_BATCH = 10_000
 
 
 def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, {}
-        for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
+    """Rows with a null key are a key of their own; whole numbers stay whole, whatever nulls there are."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, out = None, {}, []
+        for batch in batches:
+            for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
                 if key != at:
                     at, state = key, {}
                 state, made = step(state, row)
                 out += [dict(zip(keys, key)) | m for m in made]
-            if out:
-                yield pd.DataFrame(out)
+                if len(out) >= ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def in_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:

@@ -8,11 +8,17 @@ from collections.abc import Callable
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
-def contiguity(rev: str = "rev") -> Step:
-    """delivered, duplicate, or gap with the range to fetch. The first is adopted; a gap does not advance."""
+def contiguity(rev: str = "rev", rebase: str | None = None) -> Step:
+    """delivered, duplicate, or gap with the range to fetch. The first is adopted; a gap does not advance.
+
+    A row whose column `rebase` is true sets the baseline to its revision, forward only.
+    """
 
     def step(state: dict, row: dict):
         r, last = int(row[rev]), state.get("last")
+        if rebase and row[rebase]:
+            ahead = last is None or r > last
+            return ({"last": r} if ahead else state), [{"rev": r, "outcome": "rebaselined" if ahead else "ignored", "from_rev": None, "to_rev": None}]
         if last is None:
             return {"last": r}, [{"rev": r, "outcome": "adopted", "from_rev": None, "to_rev": None}]
         if r <= last:
@@ -57,6 +63,25 @@ def rate_limit(millis: str = "ms", rate: int = 4, window_ms: int = 60_000, base_
     return step
 
 
+def capped(step: Step, key: str, millis: str = "ms", cap: int = 10_000, idle_ms: int = 600_000) -> Step:
+    """A step for each value of `key`, on a node that holds at most `cap` of them.
+
+    Values not touched for idle_ms are swept; beyond the cap the one touched longest ago is forgotten.
+    """
+
+    def whole(state: dict, row: dict):
+        held, now, name = state.get("held", {}), int(row[millis]), str(row[key])  # in order of touch
+        while held and next(iter(held.values()))[0] < now - idle_ms:
+            held.pop(next(iter(held)))
+        own, made = step(held.pop(name, [now, {}])[1], row)
+        held[name] = [now, own]
+        if len(held) > cap:
+            held.pop(next(iter(held)))
+        return {"held": held}, [{key: row[key], **m} for m in made]
+
+    return whole
+
+
 def hysteresis(millis: str = "ms", count: str = "n", bucket: str | None = None, tier: str | None = None, children: str | None = None, up: int = 64, fast_up: int = 32, overload: int = 6, down: int = 16, sticky_ms: int = 60_000, low_ms: int = 300_000, window_ms: int = 10_000, lookahead_ms: int = 30_000) -> Step:
     """Promote on count, on overload, or on the trend of the last window; demote after a long low spell."""
 
