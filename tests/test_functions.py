@@ -113,3 +113,13 @@ def test_canonical_json_and_prefix(spark):
     assert one(spark, digest.covers(F.col("h"), "1010"), h="a0")
     assert not one(spark, digest.covers(F.col("h"), "1011"), h="a0")
     assert one(spark, digest.fnv1a32(F.col("t")), t="a") == (((0x811C9DC5 ^ 97) * 0x01000193 % 2**32) * 0x01000193) % 2**32
+
+
+def test_canonical_numbers_and_keys():
+    from lakeloom.functions.digest import canonical_text, number_form
+
+    forms = {1.0: "1", -0.0: "0", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 1e-6: "0.000001", 123456.75: "123456.75", 1e20: "100000000000000000000", 1e21: "1e+21", -2.5e25: "-2.5e+25", 5e-324: "5e-324", 0.1: "0.1", 2.0**53: "9007199254740992"}
+    assert {x: number_form(x) for x in forms} == forms
+    with pytest.raises(ValueError):
+        number_form(float("inf"))
+    assert canonical_text({"b": [1.0, None, True, "é\n"], "a": {"\U0001f600": 2.5, "\uffff": 0.0}}) == '{"a":{"\U0001f600":2.5,"\uffff":0},"b":[1,null,true,"é\\n"]}'

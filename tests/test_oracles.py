@@ -42,9 +42,9 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(tuple(norm(r[c]) for c in columns) for r in df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_are_held_against_brute_force():
+    """Those are in test_streams."""
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"promotion_hysteresis", "resident_topics"}
 
 
 def test_entry(spark):

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom import registry
-from lakeloom.operators import changes, metrics
+from lakeloom.operators import changes, matching, metrics
+from lakeloom.sources.scratch import saved
 from lakeloom.streaming import flows, stateful, steps
 
 
@@ -71,7 +72,7 @@ def test_cascade_goes_on_to_the_end_or_says_where_it_stopped(spark):
     writes = spark.createDataFrame([(i, "b", i) for i in range(n)], "action long, block string, rev long").cache()
     reads = writes.where(F.col("action") > 0).withColumn("rev", F.col("rev") - 1).cache()
     roots = spark.createDataFrame([(0,)], "action long")
-    run = lambda **limits: sorted(tuple(r) for r in changes.cascade(reads, writes, roots, stage=lambda df: df.localCheckpoint(), **limits).collect())
+    run = lambda **limits: sorted(tuple(r) for r in changes.cascade(reads, writes, roots, stage=lambda df: saved(df, "cascade"), **limits).collect())
     assert run() == run(max_depth=n - 1, max_transactions=n - 1) == [(i, i, None) for i in range(n)]
     assert run(max_depth=3) == [(i, i, "max-depth") for i in range(4)]
     assert run(max_transactions=3) == [(i, i, "max-transactions") for i in range(4)]
@@ -79,7 +80,7 @@ def test_cascade_goes_on_to_the_end_or_says_where_it_stopped(spark):
     assert changes.cascade(*named, roots, 2).count() == 3
     loop = named[0].unionByName(spark.createDataFrame([(1, "b", 2, "c")], "action long, block string, rev long, collection string"))
     with pytest.raises(ValueError, match="back edge: action 1 at revision 1 read b@2"):
-        changes.cascade(loop, named[1], roots, stage=lambda df: df.localCheckpoint())
+        changes.cascade(loop, named[1], roots, stage=lambda df: saved(df, "cascade"))
 
 
 def test_resident_topics_takes_every_event_on_its_node(spark):
@@ -87,3 +88,100 @@ def test_resident_topics_takes_every_event_on_its_node(spark):
     out = registry.QUERIES["resident_topics"](spark, sf)
     assert out.count() == registry.table(spark, sf, "events").count()
     assert out.groupBy("topic").agg(F.countDistinct("node").alias("n")).where("n > 1").count() == 0 and out.select("node").distinct().count() > 16
+
+
+SF10 = "/root/testdata/sf0.01"
+
+
+def in_order(spark, frame, key, order):
+    rows = sorted((r.asDict() for r in frame.collect()), key=lambda r: [r[c] for c in order])
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[key], []).append(r)
+    return groups
+
+
+def test_hysteresis_query_equals_brute_force(spark):
+    log = registry.table(spark, SF10, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("user_id") % 80).alias("n"))
+    expected = []
+    for kind, rows in in_order(spark, log, "event_type", ["ms", "n"]).items():
+        up, since, low, seen = False, None, None, []
+        for r in rows:
+            seen.append((r["ms"], r["n"]))
+            recent = [x for x in seen if x[0] >= r["ms"] - 10_000]
+            low = None if r["n"] > 16 else (r["ms"] if low is None else low)
+            span = recent[-1][0] - recent[0][0]
+            trend = (recent[-1][1] - recent[0][1]) / span if span else 0.0
+            if not up and (r["n"] >= 64 or (trend > 0 and r["n"] + trend * 30_000 >= 64)):
+                up, since = True, r["ms"]
+                expected.append((kind, r["ms"], "promote"))
+            elif up and r["ms"] - since >= 60_000 and low is not None and r["ms"] - low >= 600_000:
+                up, low = False, None
+                expected.append((kind, r["ms"], "demote"))
+    got = [(r["event_type"], r["ms"], r["event"]) for r in registry.QUERIES["promotion_hysteresis"](spark, SF10).collect()]
+    assert sorted(got) == sorted(expected) and expected
+
+
+def test_resident_query_equals_brute_force(spark):
+    from lakeloom.functions import digest
+
+    log = registry.table(spark, SF10, "events").select(F.col("user_id").cast("string").alias("topic"), "event_type", "event_id").withColumn("node", digest.hash_mod(F.encode("topic", "utf-8"), 8).cast("int"))
+    expected = []
+    for node, rows in in_order(spark, log, "node", ["event_id"]).items():
+        held = []  # topics in order of touch, with participants
+        for r in rows:
+            n = 0 if r["event_type"] == "error" else 1
+            old = next((x for x in held if x[0] == r["topic"]), None)
+            if old:
+                held.remove(old)
+                expected.append((node, r["topic"], "resident", None))
+            elif len(held) >= 100:
+                gone = next((x for x in held if x[1] == 0), None)
+                expected.append((node, r["topic"], "admitted" if gone else "refused", gone and gone[0]))
+                if not gone:
+                    continue
+                held.remove(gone)
+            else:
+                expected.append((node, r["topic"], "admitted", None))
+            held.append((r["topic"], n))
+    got = [tuple(r[c] for c in ("node", "topic", "outcome", "evicted")) for r in registry.QUERIES["resident_topics"](spark, SF10).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_null_keys_keep_their_state_and_long_values_stay_exact(spark):
+    rows = [(None, 1), (None, 2), (None, 3), (2**53 + 1, 2**53 + 1), (2**53 + 1, 2**53 + 2)]
+    out = stateful.in_batch(spark.createDataFrame(rows, "k long, rev long"), ["k"], ["rev"], steps.contiguity(), "k long, rev long, outcome string, from_rev long, to_rev long").collect()
+    assert sorted((r["rev"], r["k"], r["outcome"]) for r in out) == [(1, None, "adopted"), (2, None, "delivered"), (3, None, "delivered"), (2**53 + 1, 2**53 + 1, "adopted"), (2**53 + 2, 2**53 + 1, "delivered")]
+
+
+def test_capped_keys_are_forgotten_and_swept():
+    step = steps.capped(steps.rate_limit(rate=1, window_ms=10**9), "peer", cap=2, idle_ms=1000)
+    state, seen = {}, []
+    for peer, ms in (("a", 0), ("a", 1), ("b", 2), ("c", 3), ("a", 4), ("c", 5), ("c", 2000), ("c", 2001)):
+        state, made = step(state, {"peer": peer, "ms": ms})
+        seen += [(m["peer"], m["accepted"]) for m in made]
+    # a is pushed out by c, so it starts anew; after a second without a touch c does as well
+    assert seen == [("a", True), ("a", False), ("b", True), ("c", True), ("a", True), ("c", False), ("c", True), ("c", False)]
+    assert list(state["held"]) == ["c"]
+
+
+def test_transform_algebra(spark):
+    blocks = spark.createDataFrame([("b", "x", ["1", "2", "3"]), ("c", "x", ["7"])], "block string, attribute string, items array<string>")
+    ops = lambda rows: spark.createDataFrame(rows, "block string, kind string, attribute string, at int, removed int, added array<string>, ord long")
+    show = lambda df: {(r["block"], r["attribute"]): r["items"] for r in df.collect()}
+    first = ops([("b", "update", "x", 1, 1, ["p", "q"], 0), ("b", "update", "x", 99, 5, ["end"], 1), ("n", "insert", "y", None, None, ["new"], 2), ("n", "update", "y", 0, 0, ["0"], 3), ("gone", "update", "x", 0, 0, ["?"], 4)])
+    assert show(changes.transformed(blocks, first, "ord")) == {("b", "x"): ["1", "p", "q", "3", "end"], ("c", "x"): ["7"], ("n", "y"): ["0", "new"]}
+    second = ops([("b", "update", "x", 0, 1, [], 0), ("n", "delete", None, None, None, None, 1), ("c", "insert", "x", None, None, ["8"], 2)])
+    one = changes.transformed(changes.transformed(blocks, first, "ord"), second, "ord")
+    both = changes.transformed(blocks, changes.merged_operations(first, second, "ord"), "ord")
+    assert show(one) == show(both) == {("b", "x"): ["p", "q", "3", "end"], ("c", "x"): ["8"]}
+
+
+def test_tier_walk_and_churn(spark):
+    states = spark.createDataFrame([(1, 3, False), (1, 2, False), (2, 1, True), (3, 9, False)], "k long, tier int, promoted boolean")
+    got = {r["k"]: (r["tier"], r["hops"]) for r in matching.tier_walk(spark.range(1, 5).withColumnRenamed("id", "k"), states, "k", 3).collect()}
+    assert got == {1: (3, 0), 2: (2, 3), 3: (0, 3), 4: (0, 3)}
+    rows = [(p, r, 1000 * r, kind) for p, kinds in (("a", "offf"), ("b", "foff"), ("c", "ffff"), ("d", "fffd")) for r, kind in enumerate(kinds)]
+    log = spark.createDataFrame(rows, "peer string, rev long, ms long, kind string")
+    found = metrics.churn(log, "peer", "rev", "ms", F.col("kind") == "d", F.col("kind") == "f", 3500, alarm=3).collect()
+    assert {r["peer"]: (r["departed"], r["unreachable"], r["partitioned"]) for r in found} == {"a": (False, True, True), "b": (False, False, True), "c": (False, True, True), "d": (True, False, True)}

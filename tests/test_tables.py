@@ -116,6 +116,37 @@ def test_upsert_and_delete(spark):
     assert rows_of(dml.delete(base, spark.createDataFrame([(1,)], "id long"), T)) == [(2, "y", 2)]
 
 
+def test_upsert_folds_repeated_keys_in_order(spark, monkeypatch):
+    monkeypatch.setattr(dml, "FOLD_ROWS", 2)
+    base = frame(spark, [(1, "x", 10), (None, "n", 1), (9, "keep", 9)])
+    delta = [(1, "a", 5), (1, "b", 7), (2, "c", 1), (2, "d", 2), (2, "e", 3), (2, "f", 4), (2, "g", 5), (None, "m", 6)]
+    new = frame(spark, [(*r, i) for i, r in enumerate(delta)], ", ord long")
+    rules = {"b": lambda old, ex: old * 2 + ex, "a": lambda old, ex: F.concat(old, ex)}
+    state = {r[0]: r for r in rows_of(base)}
+    for i, a, b in delta:
+        state[i] = (i, state[i][1] + a, state[i][2] * 2 + b) if i in state else (i, a, b)
+    assert rows_of(dml.upsert(base, new, ["id"], rules, "ord")) == sorted(state.values(), key=repr)
+    assert rows_of(dml.upsert(base, new, ["id"], None, "ord")) == sorted([(1, "x", 10), (None, "n", 1), (9, "keep", 9), (2, "c", 1)], key=repr)
+    assert rows_of(dml.upsert(base, new.limit(0), ["id"], rules, "ord")) == rows_of(base)
+
+
+def test_update_and_delete_by_predicate(spark):
+    base = frame(spark, [(1, "x", 1), (2, "y", None), (3, "z", 3)])
+    assert rows_of(dml.delete_where(base, F.col("b") > 2)) == sorted([(1, "x", 1), (2, "y", None)], key=repr)
+    table = TableDef("t", T.columns, ["id"], unique=[Unique(["a"])])
+    assert rows_of(dml.update_where(base, F.col("b") >= 1, {"b": F.col("b") + 5}, table)) == sorted([(1, "x", 6), (2, "y", None), (3, "z", 8)], key=repr)
+    assert rows_of(dml.update_where(base, F.col("id") > 2, {"id": F.col("id") + 1}, table)) == sorted([(1, "x", 1), (2, "y", None), (4, "z", 3)], key=repr)
+    with pytest.raises(Exception, match="UNIQUE"):
+        dml.update_where(base, F.col("id") > 1, {"a": F.lit("same")}, table).collect()
+
+
+def test_a_hot_unique_value_takes_one_pass(spark):
+    """Twenty thousand rows of one UNIQUE value, each replacing the one before."""
+    table = TableDef("t", T.columns, ["id"], "REPLACE", [Unique(["a"], "REPLACE")])
+    new = spark.range(20_000).select("id", F.lit("same").alias("a"), F.col("id").alias("b"), F.col("id").alias("ord"))
+    assert rows_of(dml.insert(frame(spark, [(-1, "same", 0)]), new, table, "ord")) == [(19_999, "same", 19_999)]
+
+
 def test_singleton_table(spark):
     one = TableDef("one", T.columns, [])
     empty = frame(spark, [])
@@ -169,6 +200,43 @@ def test_stale_commits_fail_and_retries_win(spark, store):
         store.commit(store.head(done.rev - 1), {"t": frame(spark, [])})
 
 
+def test_appends_write_new_rows_alone(spark, store):
+    for i in range(3):
+        head = store.append("t", frame(spark, [(i, "x", i)]))
+    assert rows_of(store.read("t", head)) == [(0, "x", 0), (1, "x", 1), (2, "x", 2)]
+    assert head.versions["t"].count(",") == 2 and rows_of(store.read("t", store.head(head.rev - 1))) == [(0, "x", 0), (1, "x", 1)]
+
+
+def test_rebase_runs_pending_writes_on_the_newer_head(spark, store):
+    mine = put(spark, store, [(1, "x", 1), (2, "y", 2)])
+    put(spark, store, [(1, "other", 5)]).commit()
+    with pytest.raises(StaleHead):
+        mine.commit()
+    mine.rebase(lambda name, rows, old, new: rows.join(new, "id", "left_anti"))
+    assert rows_of(store.read("t", mine.commit())) == [(1, "other", 5), (2, "y", 2)]
+
+
+def test_checks_of_one_operation(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "ops"))
+    s.create(TableDef("t", T.columns, ["id"], checks=["ON INSERT new.b = 1", "ON UPDATE new.b = 2", "new.a IS NOT NULL"]))
+    t = put(spark, s, [(1, "x", 1)])
+    change = lambda b: frame(spark, [(1, "x", b, 1, 0)], ", old_id long, ord long")
+    t.update("t", change(2), "ord")
+    for bad in (lambda: t.update("t", change(1), "ord"), lambda: put(spark, s, [(3, "x", 2)]), lambda: put(spark, s, [(3, None, 1)])):
+        with pytest.raises(dml.ConstraintError, match="CHECK"):
+            bad()
+    found = dml.check_failures(frame(spark, [(1, "x", 1), (2, "y", 2), (3, None, None)]), s.definition("t"), "INSERT")
+    assert [r["id"] for r in found.orderBy("id").collect()] == [2, 3]
+
+
+def test_unique_indexes_refuse_rows_that_clash(spark, store):
+    store.append("t", frame(spark, [(1, "x", 1), (2, "x", 2), (3, None, 3), (4, None, 4)]))
+    with pytest.raises(SchemaConflict, match="share a value"):
+        store.create_index("t", "by_a", ["a"], unique=True)
+    store.create_index("t", "by_b", ["b"], unique=True)
+    store.create_index("t", "by_a", ["a"], unique=True, partial="id > 1")
+
+
 def test_catalog(spark, store):
     assert store.apply_schema([store.definition("t")]) == []
     store.create_index("t", "by_a", ["A"], unique=True)
