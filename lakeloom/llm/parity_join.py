@@ -237,8 +237,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     sets = narrow.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep")).withColumn("node", F.monotonically_increasing_id())
     sets = staged(sets, "parity-sets", rows_read)
     own = sets.select(F.col("rep").alias("key"), "hi", "lo", "n", "node")
-    reps = table.where("n > 0").join(own, ["key", "hi", "lo", "n"]).select(F.col("node").alias("key"), "n", "sketch", "keys")
-    some = reps.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("bucket"))
+    chosen = table.where("n > 0").join(own, ["key", "hi", "lo", "n"])
+    reps = chosen.select(F.col("node").alias("key"), "n", "sketch", "keys")
+    # by a join column, so that only the sample is joined
+    some = chosen.where(F.pmod(F.xxhash64("hi", F.lit(3)), F.lit(HOT_SAMPLE)) == 0).select(F.explode("keys").alias("bucket"))
     hot = staged(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT), "parity-hot")
     salt = F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("key", F.lit(4)), F.lit(SALTS))).cast("int")
     dealt = reps.select(F.explode("keys").alias("bucket"), "key").join(broadcast_within(hot, MAX_BROADCAST_HOT), "bucket", "left").select("bucket", salt.alias("salt"), "key")
