@@ -234,8 +234,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", k: int = 4, num: in
     table = staged(read.mapInArrow(lambda it: features(it, k, num, den), FEATURES), "parity-features")
     rows_read = table.count()
     narrow = staged(table.select("key", "n", "hi", "lo"), "parity-rows", rows_read)
-    sets = narrow.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    sets = narrow.where("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
     sets = staged(sets, "parity-sets", rows_read)
+    # a node has its least key as name, so that stars stand around early documents; further sets of one key have hashes
+    firsts = sets.groupBy("rep").agg(F.min(F.struct("hi", "lo", "n")).alias("set")).select(F.col("rep").alias("first"), "set.*")
+    named = sets.join(firsts, ["hi", "lo", "n"], "left").withColumn("node", F.coalesce("first", F.xxhash64("rep", "hi", "lo", "n"))).drop("first")
+    sets = staged(named, "parity-nodes", rows_read)
     own = sets.select(F.col("rep").alias("key"), "hi", "lo", "n", "node")
     chosen = table.where("n > 0").join(own, ["key", "hi", "lo", "n"])
     reps = chosen.select(F.col("node").alias("key"), "n", "sketch", "keys")
