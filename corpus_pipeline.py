@@ -46,13 +46,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = docs.count()
     keyed = _keyed(docs)
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        keyed = docs.withColumn("__row", F.col("doc_id").cast("long"))  # ids tell rows apart, and stars stand around early ones
     found = staged(jaccard_components(keyed.select("__row", "text"), key="__row", k=5, num=80, den=100), "near-duplicates", rows)
     shared = found.groupBy("component_id").agg(F.count("*").alias("n"), F.countDistinct("__row").alias("texts")).where("n > 1")
     groups = staged(found.join(shared.where("texts > 1").select("component_id"), "component_id").select("__row", "component_id").distinct(), "groups", rows)
     named = groups.join(keyed.select("__row", "doc_id").distinct(), "__row")
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
     gone = groups.join(best, "component_id").where("__row != best.__row").select("__row").distinct()
-    kept = _without(docs, staged(gone, "gone", rows))
+    kept = keyed.join(broadcast_within(staged(gone, "gone", rows), MAX_BROADCAST_KEYS), "__row", "left_anti").select(*docs.columns)
     if shared.where("n > texts").limit(1).count():  # rows that agree in doc_id and text
         kept = _keyed(kept).dropDuplicates(["__row"]).select(*docs.columns)
     return kept
