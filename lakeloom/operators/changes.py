@@ -68,6 +68,21 @@ def transformed(blocks: DataFrame, operations: DataFrame, order: str) -> DataFra
     return kept.join(steps, ["block", "attribute"], "left").select("block", "attribute", F.when(F.col("__steps").isNull(), F.col("items")).otherwise(fold).alias("items"))
 
 
+def blocks_at(bases: DataFrame, operations: DataFrame, revision: str, at: int) -> DataFrame:
+    """(block, attribute, items) at a revision: each block's newest base up to it, and the operations after that base.
+
+    bases are blocks with the revision that they were materialised at. A block begins anew with its last insert, and is
+    gone after a last delete; within one revision a delete comes last.
+    """
+    upto = bases.where(F.col(revision) <= at)
+    newest = upto.groupBy("block").agg(F.max(revision).alias("__base"))
+    steps = operations.where(F.col(revision) <= at).join(newest, "block", "left").where(F.col("__base").isNull() | (F.col(revision) > F.col("__base")))
+    begun = steps.where("kind != 'update'").groupBy("block").agg(F.max(F.struct(F.col(revision).alias("rev"), (F.col("kind") == "delete").alias("gone"))).alias("__begun"))
+    rest = steps.join(begun, "block", "left").where(F.col("__begun").isNull() | (F.col(revision) > F.col("__begun.rev")) | ((F.col(revision) == F.col("__begun.rev")) & (~F.col("__begun.gone") | (F.col("kind") == "delete"))))
+    start = upto.join(newest, "block").where(F.col(revision) == F.col("__base"))
+    return transformed(start.select("block", "attribute", "items"), rest.drop("__base", "__begun"), revision)
+
+
 def merged_operations(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
     """One transform that does first, then second. What the first did to blocks that the second inserts or deletes is dropped."""
     told = second.where("kind IN ('insert', 'delete')").select("block").distinct()
@@ -204,3 +219,11 @@ def chain_take(chain: DataFrame, n: int, head: bool = False) -> tuple[DataFrame,
     """(taken, left): pop n from the tail, or dequeue n from the head."""
     taken = chain.orderBy("place" if head else F.desc("place")).limit(n)
     return taken, chain.join(taken.select("place"), "place", "left_anti")
+
+
+def chain_update(chain: DataFrame, changed: DataFrame) -> DataFrame:
+    """Entries replaced at their places; changed has the chain's columns, and places that the chain lacks are left out."""
+    rest = [c for c in chain.columns if c != "place"]
+    new = changed.select("place", F.struct(*rest).alias("__new"))
+    own = F.struct(*rest)
+    return chain.join(new, "place", "left").select("place", F.coalesce("__new", own).alias("e")).select("place", "e.*").select(*chain.columns)

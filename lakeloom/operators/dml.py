@@ -7,6 +7,7 @@ through others, form a component, and each component is resolved in order on its
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,19 +58,24 @@ def check_failures(rows: DataFrame, table: TableDef, operation: str) -> DataFram
     return rows.alias("new").where(failed)
 
 
+_VIEWS = threading.Lock()  # view names are the session's: transactions of several threads name and resolve them one at a time
+
+
 def enforce_checks(rows: DataFrame, table: TableDef, views: dict[str, DataFrame] | None = None, operation: str = "INSERT") -> None:
     """Raise where a NOT NULL column is null or a CHECK is false. An unknown CHECK passes.
 
     A CHECK is SQL over the row; it may read the frames in `views`, such as committed_T, by scalar subqueries.
     """
-    for name, frame in (views or {}).items():
-        frame.createOrReplaceTempView(name)
-    rows.createOrReplaceTempView("new_rows")
     for n, _, nullable in table.columns:
         if not nullable and n not in table.primary_key and rows.where(F.col(n).isNull()).limit(1).count():
             raise ConstraintError(f"NOT NULL constraint failed: {table.name}.{n}")
-    for check in checks_for(table, operation):
-        if rows.sparkSession.sql(f"SELECT 1 FROM new_rows new WHERE NOT coalesce(({check}), true) LIMIT 1").count():
+    with _VIEWS:
+        for name, frame in (views or {}).items():
+            frame.createOrReplaceTempView(name)
+        rows.createOrReplaceTempView("new_rows")
+        failing = [(c, rows.sparkSession.sql(f"SELECT 1 FROM new_rows new WHERE NOT coalesce(({c}), true) LIMIT 1")) for c in checks_for(table, operation)]
+    for check, found in failing:
+        if found.count():
             raise ConstraintError(f"CHECK constraint failed: {check}")
 
 

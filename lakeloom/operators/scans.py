@@ -65,10 +65,21 @@ def count_from(df: DataFrame, column: str, at, ascending: bool = True) -> DataFr
     return df.where(F.col(column) >= F.lit(at) if ascending else F.col(column) <= F.lit(at)).agg(F.count("*").alias("n"))
 
 
-def pinned_get(blocks: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """One row for each distinct id asked for: the block's columns and status present or absent."""
-    mark = blocks.withColumn("__there", F.lit(True))
-    return ids.select(key).distinct().join(mark, key, "left").withColumn("status", F.when(F.col("__there"), "present").otherwise("absent")).drop("__there")
+def pinned_get(blocks: DataFrame, ids: DataFrame, key: str, revision: str | None = None, at: int | None = None, unreached: DataFrame | None = None) -> DataFrame:
+    """One row for each distinct id asked for: the block's columns and status present, absent or unavailable.
+
+    With a revision column, blocks hold states of many revisions, and the newest up to `at` is read. An id that is not
+    found is unavailable rather than absent where it is in `unreached`, the ids whose holders could not all be asked.
+    """
+    if revision:
+        blocks = as_of(blocks, [key], revision, at)
+    asked = ids.select(key).distinct()
+    found = asked.join(blocks.withColumn("__there", F.lit(True)), key, "left")
+    missing = F.lit("absent")
+    if unreached is not None:
+        found = found.join(unreached.select(key).distinct().withColumn("__unreached", F.lit(True)), key, "left")
+        missing = F.when(F.col("__unreached"), "unavailable").otherwise("absent")
+    return found.withColumn("status", F.when(F.col("__there"), "present").otherwise(missing)).drop("__there", "__unreached")
 
 
 def as_of(changes: DataFrame, key: Sequence[str], revision: str, at, deleted: str | None = None) -> DataFrame:
@@ -84,6 +95,18 @@ def read_since(log: DataFrame, revision: str, after: int, ascending: bool = True
     return log.orderBy(F.col(revision) if ascending else F.col(revision).desc())
 
 
+def pending_context(log: DataFrame, by: Sequence[str], revision: str) -> DataFrame:
+    """(by, action, revision) of the actions that a reader from the tail has to know: those after the newest checkpoint,
+    and the ones which that checkpoint carries.
+
+    log: by, revision, action (null for entries that are none) and pendings, an array of (action, rev) on checkpoints.
+    """
+    newest = log.where("pendings IS NOT NULL").groupBy(*by).agg(F.max(revision).alias("__at"), F.max_by("pendings", revision).alias("__carried"))
+    carried = newest.select(*by, F.explode("__carried").alias("p")).select(*by, F.col("p.action").alias("action"), F.col("p.rev").alias(revision))
+    after = log.where("action IS NOT NULL").join(newest.select(*by, "__at"), list(by), "left").where(F.col("__at").isNull() | (F.col(revision) > F.col("__at")))
+    return after.select(*by, "action", revision).unionByName(carried)
+
+
 def revisions_between(log: DataFrame, revision: str, first: int, last: int) -> DataFrame:
     """Both ends included; descending where first is beyond last."""
     low, high = sorted((first, last))

@@ -454,3 +454,35 @@ def rotation_handoffs(spark, sf):
     log = revisions(spark, sf).select("user_id", "rev", F.col("event_type").alias("tail"), millis().alias("ms"))
     found = changes.handoffs(log, ["user_id"], "rev", "tail", "ms", F.lit(CHURN_NOW))
     return found.select("user_id", "rev", "prior_tail", "last_rev", "drains_until", "draining")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS block, rev, event_id % 4 AS p, event_id % 3 AS m, event_type AS x FROM ({REVS}) WHERE rev <= 20),
+f(block, rev, items) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR[]) FROM events UNION ALL
+ SELECT o.block, o.rev, CASE WHEN o.rev = 8 AND o.block % 2 = 0 THEN ['m', 'n', 'o'] WHEN x = 'error' THEN NULL WHEN x = 'purchase' THEN ['a', 'b', x] WHEN items IS NULL THEN NULL ELSE items[:p] || [x] || items[p + m + 1:] END
+ FROM f JOIN o ON o.block = f.block AND o.rev = f.rev + 1)
+SELECT block, array_to_string(items, ',') AS items FROM (SELECT block, arg_max_null(items, rev) AS items FROM f GROUP BY block) WHERE items IS NOT NULL""")
+def block_replay(spark, sf):
+    """Blocks at revision 20: even ones from what they were at revision 8, with inserts, splices and deletes after it."""
+    e = revisions(spark, sf).withColumn("kind", F.expr("CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'insert' ELSE 'update' END"))
+    added = F.when(F.col("kind") == "insert", F.array(F.lit("a"), F.lit("b"), "event_type")).otherwise(F.array("event_type"))
+    operations = e.select(F.col("user_id").alias("block"), "rev", "kind", F.lit("items").alias("attribute"), (F.col("event_id") % 4).cast("int").alias("at"), (F.col("event_id") % 3).cast("int").alias("removed"), added.alias("added"))
+    bases = e.where("rev = 8 AND user_id % 2 = 0").select(F.col("user_id").alias("block"), "rev", F.lit("items").alias("attribute"), F.array(*map(F.lit, "mno")).alias("items"))
+    return changes.blocks_at(bases, operations, "rev", 20).select("block", F.array_join("items", ",").alias("items"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS place, CASE WHEN n_nationkey % 5 = 0 THEN upper(r_name) || '!' ELSE n_name END AS entry FROM nation JOIN region ON n_regionkey = r_regionkey")
+def chain_update_at(spark, sf):
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("place"), F.col("n_name").alias("entry"), "n_regionkey")
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.upper("r_name"), F.lit("!")).alias("entry"))
+    changed = nation.where("place % 5 = 0").drop("entry").join(regions, "n_regionkey").select("place", "entry")
+    return changes.chain_update(nation.select("place", "entry"), changed)
+
+
+@query("""SELECT user_id, CAST(16 * least(8192, greatest(256, ceil(60 * n / 8.0))) AS INTEGER) AS span, CAST(least(500, greatest(32, ceil(32 * n / 10))) AS INTEGER) AS depth, least(900000, greatest(10000, n * 7000)) AS ttl,
+ least(900000, greatest(10000, n * 7000)) // 3 AS ping_every FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)""")
+def scaled_terms(spark, sf):
+    """Checkpoint span and queue depth by load, and the terms of a registration."""
+    from lakeloom.streaming import flows
+
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("ttl", F.col("n") * 7000)
+    return flows.registered(n).select("user_id", flows.checkpoint_span(F.col("n") / 8.0).cast("int").alias("span"), flows.queue_depth(F.col("n"), 10, most=500).alias("depth"), "ttl", "ping_every")

@@ -262,3 +262,25 @@ def recursive_closure(spark, sf):
 def revisions(spark, sf):
     """The event log with a revision per user."""
     return table(spark, sf, "events").withColumn("rev", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rev FROM events), c AS (SELECT user_id, max(rev) AS newest FROM l WHERE rev % 8 = 0 GROUP BY user_id)
+SELECT user_id, event_id AS action, rev FROM l LEFT JOIN c USING (user_id) WHERE rev % 8 <> 0 AND event_type <> 'error' AND (newest IS NULL OR rev > newest)
+UNION ALL SELECT user_id, event_id, rev FROM l JOIN c USING (user_id) WHERE rev IN (newest - 1, newest - 2)""")
+def log_pending_context(spark, sf):
+    """Every eighth entry is a checkpoint that carries the two before it; errors are no actions."""
+    log = revisions(spark, sf).select("user_id", "rev", "event_id", "event_type")
+    w = Window.partitionBy("user_id").orderBy("rev")
+    carried = F.array(*[F.struct(F.lag("event_id", i).over(w).alias("action"), (F.col("rev") - i).alias("rev")) for i in (1, 2)])
+    point = F.col("rev") % 8 == 0
+    log = log.withColumn("pendings", F.when(point, carried)).withColumn("action", F.when(~point & (F.col("event_type") != "error"), F.col("event_id")))
+    return scans.pending_context(log, ["user_id"], "rev")
+
+
+@query("""SELECT c_custkey AS o_custkey, rev, o_totalprice, CASE WHEN rev IS NOT NULL THEN 'present' WHEN c_nationkey < 9 THEN 'unavailable' ELSE 'absent' END AS status
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS rev, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderkey <= 700 GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def pinned_at_revision(spark, sf):
+    """Orders are the revisions of a customer; customers of some nations could not be asked."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    blocks = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("rev"), "o_totalprice")
+    return scans.pinned_get(blocks, customers, "o_custkey", "rev", 700, customers.where("c_nationkey < 9"))

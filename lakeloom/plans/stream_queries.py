@@ -147,3 +147,27 @@ WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR G
 def stream_arrival_rates(spark, sf):
     """Windows that the watermark has closed by the end."""
     return _drained(spark, flows.arrival_rates(_events(spark, sf), "ts", "event_type", "1 day", "6 hours", "1 hour"), "rates")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 90 BETWEEN 7 AND 72")
+def stream_replay_admission(spark, sf):
+    """Events that arrive from 12 seconds before their own time to 77 after it: those too old or too far ahead are dropped."""
+    late = _events(spark, sf).withColumn("received", F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 90 - 12) * 1_000_000))
+    twice = late.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _drained(spark, flows.replay_guard(twice, "ts", "event_id", received="received").select("event_id", "user_id"), "admission")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 1 DAY, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 1 DAY AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed by the end."""
+    return _drained(spark, flows.sessions(_events(spark, sf), "ts", "user_id", "1 day", "1 hour"), "sessions")
+
+
+@query("""SELECT a.event_id, a.user_id, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY""")
+def stream_followed(spark, sf):
+    """Views and the purchases of the same user within a day, from two streams."""
+    views = _events(spark, sf).where("event_type = 'view'").select("event_id", "user_id", "ts")
+    bought = _events(spark, sf).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("bought_ts"))
+    return _drained(spark, flows.followed(views, bought, "user_id", "ts", "bought_ts", "1 day", "1 hour").select("event_id", "user_id", "bought"), "followed")

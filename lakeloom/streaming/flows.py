@@ -24,8 +24,10 @@ def admitted(ts: Column, now: Column, max_age_s: int = 60, max_skew_s: int = 5)
     return (ts >= now - F.expr(f"INTERVAL {max_age_s} SECONDS")) & (ts <= now + F.expr(f"INTERVAL {max_skew_s} SECONDS"))
 
 
-def replay_guard(events: DataFrame, ts: str, ident: str, max_age: str = "60 seconds") -> DataFrame:
-    """One event of each id within max_age of event time."""
+def replay_guard(events: DataFrame, ts: str, ident: str, max_age: str = "60 seconds", received: str | None = None) -> DataFrame:
+    """One event of each id within max_age of event time; with a column of arrival times, only events admitted by it."""
+    if received:
+        events = events.where(admitted(F.col(ts), F.col(received)))
     return events.withWatermark(ts, max_age).dropDuplicatesWithinWatermark([ident])
 
 
@@ -35,6 +37,22 @@ def arrival_rates(events: DataFrame, ts: str, topic: str, length: str = "60 seco
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), topic, "n")
 
 
+def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "60 seconds") -> DataFrame:
+    """Sessions of each key, ended by a gap without events; a stream gives those that the watermark has closed."""
+    counts = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, ts: str, then_ts: str, within: str, late: str = "60 seconds") -> DataFrame:
+    """Pairs of an event and one of the other stream with the same key, at most `within` later.
+
+    Both watermarks and the range bound the state: an event is dropped once no partner can come.
+    """
+    a, b = first.withWatermark(ts, late).alias("a"), then.withWatermark(then_ts, late).alias("b")
+    near = (F.col(f"b.{then_ts}") >= F.col(f"a.{ts}")) & (F.col(f"b.{then_ts}") <= F.col(f"a.{ts}") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near).select("a.*", *[F.col(f"b.{c}") for c in then.columns if c != key])
+
+
 def live(registrations: DataFrame, key: list[str], ping: str, ttl: str, now: Column) -> DataFrame:
     """Latest registration of each key that is not stale: stale means now - ping > ttl."""
     last = registrations.groupBy(*key).agg(F.max_by(F.struct(*[c for c in registrations.columns if c not in key]), ping).alias("r")).select(*key, "r.*")
@@ -50,6 +68,22 @@ def adaptive_window(rate: Column, seconds: int = 60, least: int = 256, most: int
     return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(seconds * rate).cast("int")))
 
 
+def checkpoint_span(rate: Column, seconds: int = 60, least: int = 256, most: int = 8192, ratio: int = 16) -> Column:
+    """The span of a parent's checkpoint, a multiple of the window."""
+    return adaptive_window(rate, seconds, least, most) * ratio
+
+
+def queue_depth(subscribers: Column, baseline: int, least: int = 32, most: int | None = None) -> Column:
+    """ceil(least * subscribers / baseline), never below `least`, and at most `most`."""
+    depth = F.greatest(F.lit(least), F.ceil(least * subscribers / baseline).cast("int"))
+    return F.least(F.lit(most), depth) if most else depth
+
+
+def registered(registrations: DataFrame, ttl: str = "ttl") -> DataFrame:
+    """The terms that a registration gets: its ttl clamped, and a ping due every third of it."""
+    return registrations.withColumn(ttl, clamped_ttl(F.col(ttl))).withColumn("ping_every", F.floor(F.col(ttl) / 3).cast("long"))
+
+
 def willingness(profile: Column, load: Column) -> Column:
     """Per-tier bits: willing by profile and by load."""
     return profile.bitwiseAND(load)

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakeloom.operators import dml, txn
+from lakeloom.operators import changes, dml, scans, txn
 from lakeloom.operators.txn import Transaction
 from lakeloom.sources import formats
 from lakeloom.sources.tables import SchemaConflict, StaleHead, Store, TableDef, Unique
@@ -270,3 +270,49 @@ def test_validation(spark, store):
     t.commit()
     bad = claim | {"stamp": "x", "schema_hash": "", "reads": {"t": "old"}}
     assert txn.validate(store, bad, lambda: rows.limit(1), 99_000) == ["stamp", "expired", "schema", "stale read", "operations"]
+
+
+def test_pinned_reads_tell_absent_from_unavailable(spark):
+    blocks = spark.createDataFrame([(1, 1, "a"), (1, 5, "b"), (1, 9, "c"), (2, 9, "d")], "id long, rev long, v string")
+    ids = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "id long")
+    silent = spark.createDataFrame([(1,), (3,)], "id long")
+    found = {r["id"]: (r["v"], r["status"]) for r in scans.pinned_get(blocks, ids, "id", "rev", 5, silent).collect()}
+    assert found == {1: ("b", "present"), 2: (None, "absent"), 3: (None, "unavailable"), None: (None, "absent")}
+    assert scans.pinned_get(blocks.limit(0), ids.limit(0), "id", "rev", 5, silent).count() == 0
+
+
+def test_pending_context_begins_at_the_newest_checkpoint(spark):
+    log = [(1, 1, "a", None), (1, 2, None, [("a", 1)]), (1, 3, "b", None), (1, 4, None, []), (1, 5, None, None), (1, 6, "c", None), (2, 1, "x", None)]
+    log = spark.createDataFrame(log, "k long, rev long, action string, pendings array<struct<action: string, rev: long>>")
+    context = lambda df: {tuple(r) for r in scans.pending_context(df, ["k"], "rev").collect()}
+    assert context(log) == {(1, "c", 6), (2, "x", 1)}
+    assert context(log.where("rev < 4")) == {(1, "a", 1), (1, "b", 3), (2, "x", 1)}
+    assert context(log.limit(0)) == set()
+
+
+def test_blocks_at_replays_after_the_newest_base(spark):
+    bases = spark.createDataFrame([(1, "l", ["o"], 2), (1, "l", ["p", "q"], 4), (2, "l", ["z"], 9)], "block long, attribute string, items array<string>, rev long")
+    steps = [(1, "update", 3, ["lost"]), (1, "update", 5, ["r"]), (1, "delete", 7, None), (1, "insert", 8, ["new"]), (1, "update", 8, ["s"]), (3, "update", 1, ["none"]), (4, "insert", 1, ["g"]), (4, "delete", 1, None)]
+    operations = spark.createDataFrame([(b, k, "l", 0, 1, a, r) for b, k, r, a in steps], "block long, kind string, attribute string, at int, removed int, added array<string>, rev long")
+    state = lambda at: {r["block"]: r["items"] for r in changes.blocks_at(bases, operations, "rev", at).collect()}
+    assert state(3) == {1: ["lost"]}
+    assert state(6) == {1: ["r", "q"]}
+    assert state(7) == {}
+    assert state(9) == {1: ["s"], 2: ["z"]}
+
+
+def test_checks_of_transactions_in_several_threads_see_their_own_rows(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = TableDef("c", [("id", "INTEGER", True)], ["id"], checks=["id > (SELECT min(id) - 1 FROM committed_c)"])
+
+    def fails(low):
+        rows = spark.createDataFrame([(5,)], "id long")
+        try:
+            dml.enforce_checks(rows, table, {"committed_c": spark.createDataFrame([(low,)], "id long")})
+        except dml.ConstraintError:
+            return True
+        return False
+
+    with ThreadPoolExecutor(6) as pool:
+        assert list(pool.map(fails, [1, 9] * 6)) == [False, True] * 6
