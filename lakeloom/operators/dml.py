@@ -116,7 +116,11 @@ def insert(base: DataFrame, rows: DataFrame, table: TableDef, ordinal: str, acti
 
 
 def update(base: DataFrame, changes: DataFrame, table: TableDef, ordinal: str, action: str | None = None) -> DataFrame:
-    """base after updates; changes hold old_<key> for each key column, and the whole new row."""
+    """base after updates; changes hold old_<key> for each key column, and the whole new row.
+
+    Rows move one after the other in the order of `ordinal`, and each meets what those before it left. A value that a
+    row had before is not held against it, whoever shares it.
+    """
     return _resolved(base, changes.withColumn("__op", F.lit("update")), table, ordinal, action)
 
 
@@ -255,15 +259,17 @@ def _resolved(base: DataFrame, delta: DataFrame, table: TableDef, ordinal: str,
                     enter(n, row)
                     continue
                 gone: list[int] = []
+                had: list[bytes | None] = []
                 if row["__op"] == "update":
                     at = holder.get(row["__was"])
                     if at is None:
                         continue  # no such row
                     gone.append(at)
+                    had = kept[at]["__held"]
                 blocked = None
                 for v, (cs, _, how) in zip(row["__held"], sets):
                     at = holder.get(v) if v is not None else None
-                    if at is None or at in gone:
+                    if at is None or at in gone or v in had:
                         continue
                     if how == "REPLACE":
                         gone.append(at)

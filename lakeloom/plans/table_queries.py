@@ -84,9 +84,10 @@ def unique_replace_chain(spark, sf):
 
 @query("""SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 100000 ELSE c_custkey END AS id, c_name AS tag FROM customer""")
 def update_moves_key(spark, sf):
+    """The greatest key moves first: beyond 100,000 customers a key moves to where another has just left."""
     c = table(spark, sf, "customer")
     base = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("tag"))
-    moves = base.where("id % 5 = 0").select(F.col("id").alias("old_id"), (F.col("id") + 100000).alias("id"), "tag", F.col("id").alias("ord"))
+    moves = base.where("id % 5 = 0").select(F.col("id").alias("old_id"), (F.col("id") + 100000).alias("id"), "tag", (-F.col("id")).alias("ord"))
     return dml.update(base, moves, CUSTOMERS, "ord")
 
 

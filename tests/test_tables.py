@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakeloom import registry
 from lakeloom.operators import changes, dml, scans, txn
 from lakeloom.operators.txn import Transaction
 from lakeloom.sources import formats
@@ -87,6 +89,24 @@ def test_key_moves(spark):
     assert rows_of(dml.update(base, shift.where("old_id = 1"), table, "ord", "IGNORE")) == [(1, "x", 1), (2, "y", 2)]
 
 
+def test_moved_rows_keep_their_values(spark):
+    """A value that a row had before it moved is not held against it; one that it takes is."""
+    table = TableDef("t", T.columns, ["id"], unique=[Unique(["a"])])
+    base = frame(spark, [(1, "x", 1), (2, "x", 2), (3, "y", 3)])
+    moves = frame(spark, [(11, "x", 1, 1, 0), (12, "x", 2, 2, 1)], ", old_id long, ord long")
+    assert rows_of(dml.update(base, moves, table, "ord")) == [(11, "x", 1), (12, "x", 2), (3, "y", 3)]
+    with pytest.raises(Exception, match="t.a"):
+        dml.update(base, moves.withColumn("a", F.lit("y")), table, "ord").collect()
+
+
+def test_update_moves_key_onto_moved_keys(spark, tmp_path):
+    """More than 100,000 keys: keys move onto keys that move themselves, and names repeat."""
+    spark.range(0, 200_100, 50).selectExpr("id AS c_custkey", "concat('Customer#', id % 30000) AS c_name").unionByName(spark.range(1, 20).selectExpr("id AS c_custkey", "'odd' AS c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["update_moves_key"](spark, str(tmp_path)).collect()
+    duck = duckdb.sql(registry.ORACLES["update_moves_key"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'"))
+    assert sorted((r["id"], r["tag"]) for r in got) == sorted(duck.fetchall())
+
+
 def test_long_chains_of_shared_values(spark):
     table = TableDef("t", T.columns, ["id"])
     base = frame(spark, [(i, f"r{i}", i) for i in range(300)])
