@@ -50,13 +50,18 @@ def trailing_rate(df: DataFrame, by: list[str], millis: str, window_ms: int = 60
     return df.withColumn("rate", F.count("*").over(w))
 
 
-def growth_promotes(df: DataFrame, by: list[str], millis: str, count: str, window_ms: int = 10_000, lookahead_ms: int = 30_000, cap: int = 64) -> DataFrame:
-    """Two-point slope over the trailing window; promotes where count + slope * lookahead reaches cap."""
-    w = Window.partitionBy(*by).orderBy(millis).rangeBetween(-window_ms, 0)
-    t0, c0 = F.first(millis).over(w), F.first(count).over(w)
+def growth_promotes(df: DataFrame, by: list[str], millis: str, count: str, window_ms: int = 10_000, lookahead_ms: int = 30_000, cap: int = 64, ties: list[str] = ()) -> DataFrame:
+    """Two-point slope over the trailing window; promotes where count + slope * lookahead reaches cap.
+
+    Of rows that share the window's first instant the first by `ties` counts, or the least count where none are given.
+    """
+    at = Window.partitionBy(*by).orderBy(millis)
+    w, peers = at.rangeBetween(-window_ms, 0), at.rangeBetween(0, 0)
+    t0, c0 = F.first(millis).over(w), F.first("__first").over(w)
     span = F.col(millis) - t0
     slope = F.when(span > 0, (F.col(count) - c0) / span)
-    return df.withColumn("slope", slope).withColumn("promotes", F.coalesce((F.col("slope") > 0) & (F.col(count) + F.col("slope") * lookahead_ms >= cap), F.lit(False)))
+    df = df.withColumn("__first", F.min(F.struct(*ties, F.col(count).alias("__n"))).over(peers)["__n"])
+    return df.withColumn("slope", slope).drop("__first").withColumn("promotes", F.coalesce((F.col("slope") > 0) & (F.col(count) + F.col("slope") * lookahead_ms >= cap), F.lit(False)))
 
 
 def churn(contacts: DataFrame, peer: str, order: str, ms: str, departure: Column, failure: Column, now_ms: int, window_ms: int = 10_000, failures: int = 3, alarm: int = 5) -> DataFrame:

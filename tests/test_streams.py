@@ -94,6 +94,15 @@ def test_depths_beyond_the_last_size_class(spark, tmp_path):
     assert tuple(spark.range(1).select(matching.start_depth(n, F.lit(1.0)), matching.tree_depth(n, 64, 16)).first()) == (5, 5)
 
 
+def test_growth_takes_one_count_of_an_instant(spark):
+    """Whatever the order of the rows: the first by id of those that share the window's first instant, else the least count."""
+    rows = [("g", 0, 1, 90), ("g", 0, 2, 10), ("g", 0, 3, 50), ("g", 1000, 4, 60)]
+    run = lambda rows, **more: {r["id"]: (r["slope"], r["promotes"]) for r in metrics.growth_promotes(spark.createDataFrame(rows, "g string, ms long, id long, n long").coalesce(1), ["g"], "ms", "n", **more).collect()}
+    for each in (rows, rows[::-1], rows[1:] + rows[:1]):
+        assert run(each, ties=["id"]) == {1: (None, False), 2: (None, False), 3: (None, False), 4: (-0.03, False)}
+        assert run(each)[4] == (0.05, True)
+
+
 def test_resident_topics_takes_every_event_on_its_node(spark):
     sf = "/root/testdata/sf0.01"
     out = registry.QUERIES["resident_topics"](spark, sf)
