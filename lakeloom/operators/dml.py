@@ -97,6 +97,8 @@ def insert(base: DataFrame, rows: DataFrame, table: TableDef, ordinal: str, acti
     way. Null keys equal each other in the primary key, and nothing in other UNIQUE sets.
     """
     sets = [u for u in table.unique if not u.partial or table.strict]
+    if sets and {resolve_action(action, a) for a in (table.on_conflict, *[u.on_conflict for u in sets])} == {"REPLACE"}:
+        return _replaced(base, rows, [table.primary_key, *[u.columns for u in sets]], ordinal)
     if sets:
         return _resolved(base, rows.withColumn("__op", F.lit("insert")), table, ordinal, action)
     pk, how = table.primary_key, resolve_action(action, table.on_conflict)
@@ -115,6 +117,27 @@ def insert(base: DataFrame, rows: DataFrame, table: TableDef, ordinal: str, acti
     return base.join(fresh, _null_safe(base, fresh, pk), "left_anti").unionByName(fresh.select(*columns))
 
 
+def _replaced(base: DataFrame, rows: DataFrame, sets: list[list[str]], ordinal: str) -> DataFrame:
+    """INSERT where all sets, the primary key first, say REPLACE: no row is turned away, so the last row of each value stays.
+
+    A new row stays where it is the last of its key and of each UNIQUE value, a base row where no new row has one of its
+    values. Last rows are found by aggregates and joined by their place in the order, so a value that many rows share
+    is no large group.
+    """
+    pk, columns = sets[0], base.columns
+    rows = rows.select(F.col(ordinal).alias("__ord"), *[F.col(c).cast(base.schema[c].dataType).alias(c) for c in columns])
+    place = F.struct("__ord", *columns)  # rows of one ordinal: in the order of their columns
+    stay = rows.groupBy(*pk).agg(F.max(place).alias("__at")).where("__at IS NOT NULL").select("__at.*")
+    left = base.join(rows, _null_safe(base, rows, pk), "left_anti")
+    for unique in sets[1:]:
+        free = F.greatest(*[F.col(c).isNull() for c in unique], F.lit(False))
+        last = rows.where(~free).groupBy(*unique).agg(F.max(place).alias("__at")).select("__at")
+        held = stay.where(~free).withColumn("__at", place).join(last, "__at", "left_semi").drop("__at")
+        stay = stay.where(free).unionByName(held)
+        left = left.join(rows.select(*unique).distinct(), unique, "left_anti")
+    return left.unionByName(stay.select(*columns))
+
+
 def update(base: DataFrame, changes: DataFrame, table: TableDef, ordinal: str, action: str | None = None) -> DataFrame:
     """base after updates; changes hold old_<key> for each key column, and the whole new row.
 

@@ -121,6 +121,22 @@ def test_long_chains_of_shared_values(spark):
         assert rows_of(dml.insert(frame(spark, [(900, "a5", 70)]), new, pairs, "ord")) == model([(900, "a5", 70)], delta, [(0, True), (1, False), (2, False)], actions)
 
 
+def test_replace_alone_needs_no_components(spark, monkeypatch):
+    """Where every set says REPLACE: rows that are replaced later still evict, nulls share no UNIQUE value, equal keys do."""
+    monkeypatch.setattr(dml, "components", None)
+    table = TableDef("t", T.columns, ["id"], unique=[Unique(["a"]), Unique(["b"])])
+    base = [(1, "x", 1), (2, "y", 2), (None, None, None), (7, None, 7)]
+    delta = [(3, "x", 3), (3, "z", 4), (None, "q", None), (None, None, 8), (4, None, None), (5, "z", 9), (6, "z", None), (8, "w", 9)]
+    new = frame(spark, [(*r, i) for i, r in enumerate(delta)], ", ord long")
+    run = lambda b, n: rows_of(dml.insert(frame(spark, b), n, table, "ord", "REPLACE"))
+    assert run(base, new) == model(base, delta, [(0, True), (1, False), (2, False)], ["REPLACE"] * 3)
+    assert run(base, new.limit(0)) == sorted(base, key=repr)
+    assert run([], new.where("id = 3").unionByName(new.where("id = 3"))) == [(3, "z", 4)]
+    one = TableDef("one", T.columns, [], unique=[Unique(["a"])])
+    assert rows_of(dml.insert(frame(spark, base[:1]), new.limit(0), one, "ord", "REPLACE")) == base[:1]
+    assert rows_of(dml.insert(frame(spark, base[:1]), new, one, "ord", "REPLACE")) == [delta[-1]]
+
+
 def test_values_stay_exact_and_apart(spark):
     big = 2**53
     table = TableDef("t", T.columns, ["id"], "REPLACE", [Unique(["a", "b"], "REPLACE")])
