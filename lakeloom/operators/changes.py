@@ -132,37 +132,45 @@ def cascade(reads: DataFrame, writes: DataFrame, roots: DataFrame, max_depth: in
     """Actions that depend, over reads of written blocks, on invalidated actions: (action, depth, escalation).
 
     reads: action, block, rev; writes: action, block, rev; roots: action. An action is reached when it read a
-    (block, rev) that a reached action wrote. Each round joins the last round's writes with all reads, until no
-    action is new. Where a limit is given and leaves reachable actions out, escalation says so on every row:
+    (block, rev) that a reached action wrote. Each round joins the last round's writes with all reads, which are kept by
+    block and revision meanwhile, until no action is new. Where a limit is given and leaves reachable actions out, escalation says so on every row:
     max-depth, or max-transactions (reached ones besides the roots, by depth and action); else it is null. With a
     column collection in reads (the reader's) and writes, a read of a revision of the own collection that is not
     before the reader's own is an error. `stage` may write a round's result out, to cut lineage.
     """
     forward = "collection" in reads.columns and "collection" in writes.columns
-    found = stage(roots.select("action").distinct().withColumn("depth", F.lit(0)))
-    front, reached, depth, escalation = found, 0, 0, None
-    while escalation is None:
-        depth += 1
-        touched = front.select("action").join(writes, "action").drop("action").distinct()
-        if forward:
-            own = writes.select("action", "collection", F.col("rev").alias("own")).distinct()
-            back = reads.join(touched.select("block", "rev", "collection"), ["block", "rev", "collection"]).join(own, ["action", "collection"]).where("own <= rev").first()
-            if back:
-                raise ValueError(f"back edge: action {back['action']} at revision {back['own']} read {back['block']}@{back['rev']} of its collection")
-        front = reads.join(touched, ["block", "rev"], "left_semi").select("action").distinct().join(found.select("action"), "action", "left_anti")
-        front = stage(front.withColumn("depth", F.lit(depth)))
-        new = front.count()
-        if not new:
-            break
-        if max_depth is not None and depth > max_depth:
-            escalation = "max-depth"
-            break
-        if max_transactions is not None and reached + new > max_transactions:
-            escalation = "max-transactions"
-            front = front.orderBy("action").limit(max_transactions - reached)
-        reached += new
-        found = stage(found.unionByName(front))
-    return found.withColumn("escalation", F.lit(escalation).cast("string"))
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt and sorted once, by what the rounds join them on: a round shuffles its front alone
+    reads = reads.repartition(parts, "block", "rev").sortWithinPartitions("block", "rev").persist()
+    writes = writes.repartition(parts, "action").sortWithinPartitions("action").persist()
+    try:
+        found = stage(roots.select("action").distinct().withColumn("depth", F.lit(0)))
+        front, reached, depth, escalation = found, 0, 0, None
+        while escalation is None:
+            depth += 1
+            touched = front.select("action").join(writes, "action").drop("action").distinct()
+            if forward:
+                own = writes.select("action", "collection", F.col("rev").alias("own")).distinct()
+                back = reads.join(touched.select("block", "rev", "collection"), ["block", "rev", "collection"]).join(own, ["action", "collection"]).where("own <= rev").first()
+                if back:
+                    raise ValueError(f"back edge: action {back['action']} at revision {back['own']} read {back['block']}@{back['rev']} of its collection")
+            front = reads.join(touched, ["block", "rev"], "left_semi").select("action").distinct().join(found.select("action"), "action", "left_anti")
+            front = stage(front.withColumn("depth", F.lit(depth)))
+            new = front.count()
+            if not new:
+                break
+            if max_depth is not None and depth > max_depth:
+                escalation = "max-depth"
+                break
+            if max_transactions is not None and reached + new > max_transactions:
+                escalation = "max-transactions"
+                front = front.orderBy("action").limit(max_transactions - reached)
+            reached += new
+            found = stage(found.unionByName(front))
+        return found.withColumn("escalation", F.lit(escalation).cast("string"))
+    finally:
+        reads.unpersist()
+        writes.unpersist()
 
 
 def verdicts(candidates: DataFrame) -> DataFrame:

@@ -84,6 +84,23 @@ def test_cascade_goes_on_to_the_end_or_says_where_it_stopped(spark):
         changes.cascade(loop, named[1], roots, stage=lambda df: saved(df, "cascade"))
 
 
+def test_cascade_takes_its_reads_once(spark):
+    """However many rounds: reads are dealt once, and are let go in the end."""
+    n, seen = 6, spark.sparkContext.accumulator(0)
+    writes = spark.createDataFrame([(i, "b", i) for i in range(n)], "action long, block string, rev long")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    reads = writes.withColumn("rev", F.col("rev") - 1).mapInArrow(counted, writes.schema)
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    got = changes.cascade(reads, writes, spark.createDataFrame([(0,)], "action long"), stage=lambda df: saved(df, "cascade"))
+    assert seen.value == n and len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+    assert sorted((r["action"], r["depth"]) for r in got.collect()) == [(i, i) for i in range(n)]
+
+
 def test_depths_beyond_the_last_size_class(spark, tmp_path):
     """The query keeps to the classes of its SQL, the operators go on."""
     spark.createDataFrame([(2**k - 1 + d,) for k in range(2, 30) for d in (-1, 0, 1)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
